@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,14 +17,27 @@ from .common import cut, table
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Letters and then ASCII punctuation other than the apostrophe, which may begin a contraction.
+WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]{0,8})")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids as little-endian 32-bit bytes, equal to those of the tokenizer over the whole text.
 
     The tokenizer drops white space and never merges across it, so a text is encoded by its pieces between spaces and
-    line ends, and the ids of pieces seen before are looked up. The table is bounded; longer pieces are not kept.
+    line ends, and the ids of pieces seen before are looked up. A piece of Latin letters with trailing punctuation is two words to the
+    tokenizer, and goes straight to its merges; any other piece goes through the whole tokenizer. The table of known
+    pieces is bounded, and long pieces are not kept.
     """
 
-    def __init__(self, path: str | None = None, most: int = 300_000, longest: int = 48):
+    def __init__(self, path: str | None = None, most: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,16 +46,42 @@ class Encoder:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer, self.known, self.most, self.longest = Tokenizer.from_file(path), {"": b""}, most, longest
+        self.words: dict[str, bytes] = {}
+        self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def new(self, pieces: list[str]) -> dict[str, bytes]:
+        out, rest, words = {}, [], self.words
+        if len(words) > self.most:
+            words.clear()
+        for piece in pieces:
+            m = WORD.fullmatch(piece) if len(piece) <= self.longest else None
+            if m is None or not m[1].isalpha() or max(m[1]) >= "\u0130":
+                rest.append(piece)
+                continue
+            word, tail = m[1].lower(), m[2]
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = array("I", [x.id for x in self.merges(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if tail:
+                end = words.get(tail)
+                if end is None:
+                    end = words[tail] = self.whole([tail])[0]
+                ids += end
+            out[piece] = ids
+        if rest:
+            out.update(zip(rest, self.whole(rest)))
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         pieces = (text or "").replace("\n", " ").split(" ")
-        new = list(set(pieces).difference(self.known))
         known = self.known
-        if new:
-            ids = [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        if new := list(set(pieces).difference(known)):
             if len(known) + len(new) > self.most:
                 known = self.known = {x: known[x] for x in set(pieces) if x in known} | {"": b""}
-            extra = dict(zip(new, ids))
+            extra = self.new(new)
             known.update({k: v for k, v in extra.items() if len(k) <= self.longest})
             if any(len(k) > self.longest for k in new):
                 known = known | extra
