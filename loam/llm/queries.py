@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .embeddings import op2_embeddings
+from .lines import op3_line_dedup
 from .packing import op6_packing
 from .sharding import op4_sharding
 from .simhash import op1_simhash
 from .substrings import op5_substrings
 from .tokens import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op4_sharding, op5_substrings, op6_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_line_dedup, op4_sharding, op5_substrings, op6_packing, op8_token_counts)}
 
 ORACLES: dict[str, str] = {}
