@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import op2_embeddings
+from .leaks import op7_leaks
 from .lines import op3_line_dedup
 from .packing import op6_packing
 from .sharding import op4_sharding
@@ -10,6 +11,6 @@ from .simhash import op1_simhash
 from .substrings import op5_substrings
 from .tokens import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_line_dedup, op4_sharding, op5_substrings, op6_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_line_dedup, op4_sharding, op5_substrings, op6_packing, op7_leaks, op8_token_counts)}
 
 ORACLES: dict[str, str] = {}
