@@ -116,6 +116,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08, least: int = 24, block: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``, as ``matches`` finds them; nothing is shuffled."""
+    columns = docs.columns
+    at, names = columns.index(text_col), [f"c{k}" for k in range(len(columns))]
+    out = docs.toDF(*names)
+    for items in blocks(benchmark, item_col, item_text_col, block, least):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            match = Matcher(shared.value, rate)
+            for b in batches:
+                yield b.filter(pa.array([not (t and match(plain(t))) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, out.schema)
+    return out.toDF(*columns)
+
+
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "distance")
