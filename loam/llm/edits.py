@@ -41,6 +41,8 @@ def within(a: str, b: str, limit: int) -> int | None:
         h_down = diagonal & up
         if not diagonal & high:
             score += 1
+            if score > 3 * limit + 1:  # the walk up at the end takes off as much as the band is high, at most
+                return None
         across = diagonal >> 1
         up = (h_down | (mask & ~(across | h_up))) & mask
         down = across & h_up

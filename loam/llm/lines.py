@@ -11,13 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, shuffle_width, table
 from .edits import within
 
 #: Entries of a bucket of the segment index, about.
 BUCKET = 1_000_000
 #: Lines that a task remembers to have entered into the index, so that a frequent line isn't entered again and again.
 SEEN = 300_000
+#: Lines of one group that are compared in one task.
+BLOCK = 2000
 ENTRY = np.dtype([("key", "<u4"), ("line", "<i8")])
 
 
@@ -115,32 +117,29 @@ def entries(docs: DataFrame, least: int, limit: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, indexed boolean, entries binary")
 
 
-def candidates(packed: DataFrame) -> DataFrame:
-    """(a, b): lines, by the first half of their keys, of which one's substring is the other's segment; a < b."""
+def shared(packed: DataFrame) -> DataFrame:
+    """(grp, h): groups of lines, by the first half of their keys, that may be near each other.
+
+    A group holds the lines of one index key: those with a segment and those with a substring equal to it. Members are
+    listed, not paired, and groups of the same lines under several keys are one.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         indexed = rows["indexed"].to_numpy(zero_copy_only=False)
         blobs = rows["entries"].to_pylist()
         index, probe = (np.unique(np.frombuffer(b"".join([x for x, i in zip(blobs, indexed) if i == side]), ENTRY)) for side in (True, False))
-        low, high = np.searchsorted(index["key"], probe["key"], "left"), np.searchsorted(index["key"], probe["key"], "right")
-        found = [np.empty(0, "<i8,<i8")]
-        # probes of few million matches at a time, so that a frequent segment doesn't need memory for all its pairs
-        ends = np.cumsum(high - low)
-        at = 0
-        while at < len(probe):
-            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000)))
-            n = (high - low)[at:until]
-            if n.sum():
-                a = np.repeat(probe["line"][at:until], n)
-                b = index["line"][np.repeat(low[at:until] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                pair = np.empty(len(a), "<i8,<i8")
-                pair["f0"], pair["f1"] = np.minimum(a, b), np.maximum(a, b)
-                found.append(np.unique(pair[a != b]))
-            at = until
-        pairs = np.unique(np.concatenate(found))
-        return pa.table({"a": pa.array(pairs["f0"], pa.int64()), "b": pa.array(pairs["f1"], pa.int64())})
-
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+        every = np.unique(np.concatenate([index, probe[np.isin(probe["key"], index["key"])]]))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(every["key"]) > 0, [True]))) if len(every) else np.zeros(1, np.int64)
+        many = np.flatnonzero(np.diff(edges) > 1)
+        names, members = [], []
+        for k in many.tolist():
+            own = every["line"][edges[k] : edges[k + 1]]
+            names.append(np.full(len(own), xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64).view(np.int64))
+            members.append(own)
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"grp": pa.array(np.concatenate(names or empty), pa.int64()), "h": pa.array(np.concatenate(members or empty), pa.int64())})
+
+    return packed.groupBy("bucket").applyInArrow(run, "grp long, h long").distinct()
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -176,37 +175,80 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("text", "want").mapInArrow(run, "node long, h long, line string").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
-    """(u, v): the candidate pairs that are within ``limit`` edits, as nodes."""
+def connect(lines: list[str], limit: int) -> list[tuple[int, int]]:
+    """Links between ``lines`` that are within ``limit`` edits, enough of them to connect all that are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = [within(s, t, limit) is not None for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+    Each line is compared with the leader of every cluster so far. Members are within ``limit`` of their leader, so a line that is
+    more than twice that away from the leader is near none of them; only in between are members compared one by one.
+    """
+    clusters: list[list[int]] = []
+    links = []
+    for k, line in enumerate(lines):
+        joined = False
+        for members in clusters:
+            far = within(line, lines[members[0]], 2 * limit)
+            if far is None:
+                continue
+            if far <= limit:
+                links.append((members[0], k))
+                if not joined:
+                    members.append(k)
+                joined = True
+            else:
+                near = next((m for m in members[1:] if within(line, lines[m], limit) is not None), None)
+                if near is not None:
+                    links.append((near, k))
+        if not joined:
+            clusters.append([k])
+    return links
+
+
+def verified(groups: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
+    """(u, v): links, as nodes, that connect the lines of each group that are within ``limit`` edits.
+
+    A group of more lines than a block is compared block against block, in cells that different tasks can take.
+    """
 
-    left = lines.select(F.col("h").alias("a"), F.col("node").alias("u"), F.col("line").alias("s"))
-    right = lines.select(F.col("h").alias("b"), F.col("node").alias("v"), F.col("line").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
+    def run(rows: pa.Table) -> pa.Table:
+        found = []
+        table = rows.sort_by([("grp", "ascending"), ("cell", "ascending"), ("node", "ascending")])
+        grp, cell, node, line = (table[c].to_pylist() for c in ("grp", "cell", "node", "line"))
+        at = 0
+        while at < len(grp):
+            end = at
+            while end < len(grp) and (grp[end], cell[end]) == (grp[at], cell[at]):
+                end += 1
+            found += [(node[at + i], node[at + j]) for i, j in connect(line[at:end], limit)]
+            at = end
+        return pa.table([pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 2], names=["u", "v"])
+
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    sized = groups.join(sizes, "grp")
+    own = F.pmod(F.xxhash64("h"), F.col("n"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.least(own, k) * F.col("n") + F.greatest(own, k))
+    placed = sized.select("grp", "h", F.explode(cells).alias("cell")).join(lines, "h")
+    split = F.pmod(F.xxhash64("grp", "cell"), F.lit(64 * shuffle_width(groups.sparkSession)))
+    return placed.select("grp", "cell", "node", "line", split.alias("part")).groupBy("part").applyInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, limit: int, least: int, edited: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, lines, links) of ``docs(id, x, text)``.
 
     lines: (node, h, g, first, at, size, n_docs, root), a row for each distinct line; first is the least id that has it and
-    root the node of its class' first line. links: (u, v), the nodes within ``limit`` edits.
+    root the node of its class' first line. links: (u, v), enough of the nodes within ``limit`` edits to connect all that are.
     """
     found = cut(occurrences(docs, least))
     lines = found.groupBy("h", "g").agg(F.min("id").alias("first"), F.min_by("at", "id").alias("at"), F.min_by("x", "id").alias("x"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_docs"))
     lines = cut(lines.withColumn("node", F.monotonically_increasing_id()))
     slots = limit + 1 + sum(1 for _ in probes(100, limit))
     count = lines.where(F.col("size") >= edited).count()
-    pairs = cut(candidates(entries(docs, edited, limit, max(1, -(-count * slots // BUCKET)))))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    groups = cut(shared(entries(docs, edited, limit, max(1, -(-count * slots // BUCKET)))))
+    named = groups.select("h").distinct()
     wanted = lines.join(named, "h").select("node", "h", "g", F.col("first").alias("id"), "x")
     texts = cut(line_texts(squeezed(docs.select("id", "x", "text")), wanted))
-    links = cut(verified(pairs, texts, limit).distinct())
-    groups = components(links).withColumnRenamed("id", "node")
-    members = lines.join(groups, "node").select("node", "component", "first", "at")
+    links = cut(verified(groups, texts, limit).distinct())
+    joined = components(links).withColumnRenamed("id", "node")
+    members = lines.join(joined, "node").select("node", "component", "first", "at")
     roots = members.groupBy("component").agg(F.min(F.struct("first", "at", "node")).alias("root"))
     rooted = members.join(roots, "component").select("node", F.col("root.node").alias("root"))
     return found, lines.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), links
@@ -223,7 +265,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     1. Equal lines are one line, aggregated in each task before they are shuffled.
     2. Each line enters its limit + 1 segments in an index and probes it with the substrings that could be a segment of a
        line at most ``limit`` shorter; entries of 12 bytes meet in bounded buckets.
-    3. Candidates are verified by a banded bit-parallel edit distance, texts being fetched for candidates only.
+    3. Lines that share a key are verified by a banded bit-parallel edit distance, texts being fetched for them only. A group of
+       near copies is compared with its leaders, not pairwise.
 
     Null and empty texts come back as they are. Rows with a null id stay as they are, and nothing is dropped for their sake.
     Rows of one id count as one document, each keeping what the document's first row would. Other columns are kept,

@@ -93,6 +93,7 @@ def brute(rows, limit=2, least=4, long=10):
 def test_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(lines, "BUCKET", 300)
     monkeypatch.setattr(lines, "SEEN", 50)
+    monkeypatch.setattr(lines, "BLOCK", 5 if seed == 2 else 2000)
     r = random.Random(seed)
     pool = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(3, 40))) for _ in range(60)]
     rows = []
@@ -108,5 +109,29 @@ def test_equals_brute_force(spark, monkeypatch, seed):
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == brute(rows)
 
 
+def test_connect_finds_every_component():
+    r = random.Random(3)
+    for _ in range(300):
+        base = "".join(r.choice("ab") for _ in range(14))
+        some = list(dict.fromkeys(edited(r, base, r.randrange(8)) for _ in range(25)))
+        root = list(range(len(some)))
+        want = list(root)
+
+        def join(of, i, j):
+            a, b = of[i], of[j]
+            for k, c in enumerate(of):
+                if c == max(a, b):
+                    of[k] = min(a, b)
+
+        for i, j in lines.connect(some, 2):
+            assert distance(some[i], some[j]) <= 2
+            join(root, i, j)
+        for i, x in enumerate(some):
+            for j in range(i):
+                if distance(x, some[j]) <= 2:
+                    join(want, i, j)
+        assert root == want
+
+
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
