@@ -187,23 +187,32 @@ def _examined(docs: DataFrame) -> DataFrame:
     return docs.select("quality", "toxic", "text").mapInArrow(run, "quality int, toxic int, votes array<int>, insult int, stems array<string>, features binary")
 
 
-def _patterns(docs: DataFrame, marks: frozenset[str]) -> DataFrame:
-    """(task, pattern, n): how often each pattern of votes occurs in all documents, with the gold label at the end."""
+def _votes(docs: DataFrame, marks: frozenset[str]) -> DataFrame:
+    """(id, quality_votes, toxic_votes): the heuristic votes of each document with words, as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[tuple[str, str], int] = {}
-            for q, x, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+            ids, votes = [], ([], [])
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = (t or "").split()
-                if not words:
-                    continue
-                s = shares(t, words)
-                for task, votes, gold in (("quality", quality_votes(s, len(words)), None if q is None else 1 - q), ("toxic", toxic_votes(words, stems(words), marks), x)):
-                    pattern = ",".join(map(str, [*votes, -1 if gold is None else int(gold)]))
-                    counts[task, pattern] = counts.get((task, pattern), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["task", "pattern", "n"])
+                if words:
+                    ids.append(i)
+                    votes[0].append(",".join(map(str, quality_votes(shares(t, words), len(words)))))
+                    votes[1].append(",".join(map(str, toxic_votes(words, stems(words), marks))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(v, pa.string()) for v in votes)], ["id", "quality_votes", "toxic_votes"])
 
-    return docs.select("quality", "toxic", "text").mapInArrow(run, "task string, pattern string, n long").groupBy("task", "pattern").agg(F.sum("n").alias("n"))
+    return docs.select("id", "text").mapInArrow(run, "id long, quality_votes string, toxic_votes string")
+
+
+def _patterns(docs: DataFrame, gold: DataFrame, marks: frozenset[str]) -> DataFrame:
+    """(task, pattern, n): how often each pattern of votes, the label at its end, occurs in all documents.
+
+    Votes are joined with the labels, not texts, which stay where they are read.
+    """
+    known = _votes(docs, marks).join(gold, "id", "left")
+    pattern = lambda votes, label: F.concat_ws(",", votes, F.coalesce(label, F.lit(-1)).cast("string"))
+    tasks = F.array(F.struct(F.lit("quality").alias("task"), pattern(F.col("quality_votes"), 1 - F.col("quality")).alias("pattern")), F.struct(F.lit("toxic").alias("task"), pattern(F.col("toxic_votes"), F.col("toxic")).alias("pattern")))
+    return known.select(F.explode(tasks).alias("t")).groupBy("t.task", "t.pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -227,8 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     quality, toxic = value("quality"), value("toxic")
     starts = seen["stems"].to_pylist()
     marks = mine(starts, toxic)
-    # ids and labels only: labels can be as many as documents, so they are joined, not broadcast
-    counted = _patterns(rows.join(gold, "id", "left"), marks).toArrow().to_pylist()
+    counted = _patterns(rows, gold, marks).toArrow().to_pylist()
     votes = {"quality": [[*v, -1 if q < 0 else 1 - q] for v, q in zip(seen["votes"].to_pylist(), quality.tolist())], "toxic": []}
     for insult, found, x in zip(seen["insult"].to_pylist(), starts, toxic.tolist()):
         n = len(marks.intersection(found))
