@@ -118,5 +118,5 @@ def shingles(text: Column, width: int = 5) -> Column:
     # shifted copies side by side: a lambda that looked into the words would split the text anew for each run
     many = F.size(words) - (width - 1)
     shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(many, F.lit(0))).alias(f"w{k}") for k in range(width)])
-    runs = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[str(k)] for k in range(width)]))
+    runs = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(width)]))
     return F.when(many > 0, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
