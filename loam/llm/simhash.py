@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, shuffle_width, table
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK = 1 << 20
@@ -87,7 +87,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("distance must be even")
     fps = cut(fingerprints(docs, id_col, text_col, width))
     reps = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    reach = reps.where("rep is not null").select("rep", "fp", F.explode(balls("fp", distance // 2)).alias("value"))
+    # few bytes become many rows, so fingerprints are spread over all tasks before they do
+    spread = reps.where("rep is not null").repartition(shuffle_width(docs.sparkSession), "fp")
+    reach = spread.select("rep", "fp", F.explode(balls("fp", distance // 2)).alias("value"))
     met = cut(reach.groupBy("value").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     pairs = met.where("n = 2").select("lo", F.col("hi").alias("rep"))
     # where three or more meet, they are among the points of the value's own ball
