@@ -91,14 +91,17 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def merged(first: Column, *later: Column) -> Column:
     """Maps joined, later keys winning over earlier ones, whatever the session's duplicate-key policy."""
-    out = F.coalesce(first, F.create_map().cast("map<string,string>"))
+    none = F.create_map().cast("map<string,string>")
+    out = F.coalesce(first, none)
     for m in later:
-        m = F.coalesce(m, F.create_map().cast("map<string,string>"))
-        kept = F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k))
-        out = F.map_concat(kept, m)
+        out = _over(out, F.coalesce(m, none))
     return out
 
 
+def _over(old: Column, new: Column) -> Column:
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
 def upload_ids(path: Column) -> Column:
     """(system_id, upload_id) of a path that holds ``systems/<system>/<upload>/``."""
     pattern = r"systems/([^/]+)/([^/]+)/"

@@ -66,7 +66,7 @@ def merge_results(results: DataFrame, limit: int = 10, order: list[Column] | Non
     ``order`` decides between equal similarities (arrival order). Rows without an id or, among several, a similarity of null come last; without an id
     they are dropped.
     """
-    order = order or [F.lit(0)]
+    order = order or []
     best = Window.partitionBy("conversation_id").orderBy(F.col("similarity").desc_nulls_last(), *order)
     kept = results.where("conversation_id is not null").withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
     return kept.orderBy(F.col("similarity").desc_nulls_last(), *order, "conversation_id").limit(limit)

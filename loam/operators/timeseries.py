@@ -114,7 +114,7 @@ def change_points(series: DataFrame, as_of: str, days: int = 30, penalty: float
     """Segments of each (metric_name, entity_id) series of (ts, value), split where the level changes.
 
     Binary segmentation: the split that lowers the squared error most is kept if the gain is over ``penalty`` * log(n) noise variances,
-    noise being judged from first differences; then both sides are tried. A segment's total change is its mean less the one before (within the
+    noise being judged from first differences, 3 % of the range at least; then both sides are tried. A segment's total change is its mean less the one before (within the
     first: its last value less its first). It is abrupt if the step is over ``abrupt`` noise deviations and 10 % of the level before it, else gradual
     if its own slope is, else flat. change_rank 1 is the largest change. Series of fewer than five usable points have no row; unreadable times and values are left out.
     """
@@ -130,7 +130,7 @@ def change_points(series: DataFrame, as_of: str, days: int = 30, penalty: float
         pdf = pdf.sort_values("ts", kind="stable")
         v, n = pdf["value"].to_numpy(), len(pdf)
         steps = np.diff(v)
-        noise = max(1.4826 * float(np.median(np.abs(steps - np.median(steps)))) / 2**0.5, 1e-6 * max(1.0, float(np.abs(v).max())))
+        noise = max(1.4826 * float(np.median(np.abs(steps - np.median(steps)))) / 2**0.5, 0.03 * float(np.ptp(v)), 1e-9)
         cuts, todo = [0, n], [(0, n)]
         while todo:
             a, b = todo.pop()

@@ -1,10 +1,8 @@
-"""Schemas of the canonical tables."""
+"""Schemas of the canonical tables, as DDL, which readers and from_json take."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+SCHEMAS: dict[str, str] = {
     "hot": "system_id string, conversation_id string not null, content string, embedding array<float>, timestamp timestamp, metadata string, content_hash string, uploaded_at timestamp",
     "warm": "system_id string, conversation_id string not null, embedding array<tinyint>, summary string, timestamp timestamp, metadata string",
     "cold": "system_id string, conversation_id string, fingerprint binary, ultra_summary string, timestamp timestamp, daily_metrics string",
@@ -21,5 +19,3 @@ _DDL = {
     "event": "topic string, payload string, headers map<string, string>",
     "samples": "name string, labels map<string, string>, le double, value double, ts timestamp",
 }
-
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
