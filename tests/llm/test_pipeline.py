@@ -37,3 +37,21 @@ def test_stages(spark):
             assert all(any(b[:12] in leaks.plain(before[i].text) for b in benchmark) for i in gone)
         before = kept
     assert kept and quality and lines
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and repeated rows, and empty tables pass every stage."""
+    sf = "/root/testdata/sf0.001"
+    good = "It was a fine day and we went out to see the sea. We came home late in the evening, tired but happy about all of it."
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component string"
+    rows = [(1, good), (1, good), (2, None), (3, ""), (None, good), (None, good), (4, good), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], schema)
+    got = sorted((r.doc_id for r in corpus_pipeline.fresh_lines(spark, docs, sf).collect()), key=str)
+    assert got == sorted([1, 1, 2, 3, None, None, 5], key=str)
+    got = sorted((r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, sf).collect()), key=str)
+    assert got == sorted([1, 2, None, None], key=str)
+    assert corpus_pipeline.clean_of_benchmarks(spark, docs, sf).count() == len(rows)
+    assert corpus_pipeline.packed(spark, docs, sf).count() == len(rows)
+    assert not any(r.text in (None, "") for r in corpus_pipeline.good_quality(spark, docs, sf).collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == []
