@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import leaks, lines, packing, quality, simhash
-from loam.llm.common import cut, table
+from loam.llm import leaks, lines, nearcopies, packing, quality, simhash
+from loam.llm.common import components, cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,8 +26,12 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by SimHash of five-word shingles, the document of the least id stays."""
-    groups = simhash.near_duplicates(docs, width=5)
+    """Of each group of near-duplicates, by five-word shingles, the document of the least id stays.
+
+    Linked are documents of a Jaccard similarity of 0.8 or more, and those whose SimHashes are at most 2 bits apart.
+    """
+    close = simhash.near_duplicates(docs, width=5).where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+    groups = components(close.unionByName(nearcopies.links(docs, width=5)))
     gone = groups.where("id > component").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(gone, "doc_id", "left_anti").withColumn("_x", F.xxhash64("text"))
     # rows without an id are no repeats of each other
