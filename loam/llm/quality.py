@@ -18,8 +18,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import table
 
 BITS = 18
-#: Labelled rows that the stems are mined from and the scorers are fitted on, at most: those of the least hashes.
+#: Labelled rows that the stems are mined from and the scorers are fitted on, at most: those of the least hashes. Half as many
+#: rows without a label join them for the scorers.
 SAMPLE = 8000
+#: How often a given label is taken to be wrong. Estimated next to labellers that are not independent, it would grow at the labels' cost.
+WRONG = 1e-4
+#: Weight of a document without a label where labels are given, in the label model and the scorers (EM-lambda, Nigam et al. 2000).
+LIGHT = 0.1
 RUNS = re.compile(r"[!#$%&*?~=+]{2,}(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_~=+/\\"
 #: Common English insults.
@@ -91,20 +96,21 @@ class Features:
         return np.unique(np.frombuffer(b"".join(parts), "<u4"))
 
 
-def fit_linear(rows: list[np.ndarray], p: np.ndarray, epochs: int = 4, rate: float = 0.3, lasso: float = 0.0015, ridge: float = 0.1) -> np.ndarray:
+def fit_linear(rows: list[np.ndarray], p: np.ndarray, epochs: int = 4, rate: float = 0.3, lasso: float = 0.0015, ridge: float = 0.1, weights: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last one is the intercept) of a logistic regression on present features, by FTRL-proximal steps.
 
-    Labels are probabilities; the rarer class weighs as much as the other. The lasso, given for each row, leaves most weights at
+    Labels are probabilities; the rarer class weighs as much as the other, and a row as ``weights`` say. The lasso, given for each row, leaves most weights at
     zero, so that a long text's many features add no noise.
     """
     z, n, w = (np.zeros((1 << BITS) + 1) for _ in range(3))
-    share = min(max(p.mean(), 1e-3), 1 - 1e-3)
-    order, lasso = np.random.default_rng(0), max(1.0, lasso * len(rows))
+    weights = np.ones(len(rows)) if weights is None else weights
+    share = min(max(np.average(p, weights=weights), 1e-3), 1 - 1e-3)
+    order, lasso = np.random.default_rng(0), max(1.0, lasso * weights.sum())
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             i = np.append(rows[k], 1 << BITS)
             guess = 1 / (1 + np.exp(-np.clip(w[i].sum(), -30, 30)))
-            g = (guess - p[k]) * (p[k] * 0.5 / share + (1 - p[k]) * 0.5 / (1 - share))
+            g = weights[k] * (guess - p[k]) * (p[k] * 0.5 / share + (1 - p[k]) * 0.5 / (1 - share))
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / rate
             z[i] += g - step * w[i]
             n[i] += g * g
@@ -119,22 +125,28 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, gold: np.
 
     ``rates[j, c, v]``: how often labeller j gives vote v (0: good, 1: bad, 2: abstains) on class c (1: bad), independently of the
     others given the class (Dawid and Skene 1979). An abstention tells something if its rate differs between the classes. Starts
-    from the share of bad votes; a few counts are added to each rate, the more where labeller and class agree. Where ``gold``
-    has a class (not -1), the pattern is of that class.
+    from the share of bad votes; a few counts are added to each rate, the more where labeller and class agree. ``gold`` (-1:
+    none) is a further labeller, wrong at the rate ``WRONG``; where it abstains it tells nothing, as what has a label is no matter
+    of the class. It comes last in ``rates``. Patterns without it weigh ``LIGHT``, unless none has it.
     """
-    gold = np.full(len(patterns), -1) if gold is None else gold
     votes = np.stack([patterns == 0, patterns == 1, patterns < 0], axis=2).astype(float)
     given = votes[:, :, :2].sum((1, 2))
     post = np.where(given > 0, (votes[:, :, 1].sum(1) + 0.02) / (given + 0.2), 0.1)
-    post = np.where(gold >= 0, gold, post)
-    extra = np.array([[2.0, 0.5, 1.0], [0.5, 2.0, 1.0]])
+    extra = np.broadcast_to(np.array([[2.0, 0.5, 1.0], [0.5, 2.0, 1.0]])[:, None], (2, patterns.shape[1], 3))
+    if gold is not None:
+        votes = np.concatenate([votes, np.stack([gold == 0, gold == 1, np.zeros(len(gold))], axis=1)[:, None].astype(float)], axis=1)
+        post = np.where(gold >= 0, gold, post)
+        counts = np.where((gold < 0) & (gold >= 0).any(), LIGHT, 1.0) * counts
+        extra = np.concatenate([extra, np.full((2, 1, 3), 1e-9)], axis=1)
     for _ in range(rounds):
         weight = np.stack([(1 - post) * counts, post * counts])
         prior = (weight[1].sum() + 1) / (weight.sum() + 10)
-        rates = np.einsum("cp,pjv->jcv", weight, votes) + extra
+        rates = np.einsum("cp,pjv->jcv", weight, votes) + extra.transpose(1, 0, 2)
         rates /= rates.sum(2, keepdims=True)
+        if gold is not None:
+            rates[-1, :, :2] = [[1 - WRONG, WRONG], [WRONG, 1 - WRONG]]
         likely = np.einsum("pjv,jcv->pc", votes, np.log(rates)) + np.log([1 - prior, prior])
-        new = np.where(gold >= 0, gold, 1 / (1 + np.exp(np.clip(likely[:, 0] - likely[:, 1], -50, 50))))
+        new = 1 / (1 + np.exp(np.clip(likely[:, 0] - likely[:, 1], -50, 50)))
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
@@ -151,11 +163,15 @@ def mine(rows: list[list[str]], toxic: np.ndarray, least: int = 8, most: int = 2
     return frozenset(sorted(marks, key=lambda x: (-hits[x], x))[:most])
 
 
+def stem_votes(insult: int, n: int) -> list[int]:
+    """The toxic labellers' votes: an insult, one or two mined stems, more of them. No two say the same, as labellers should be independent."""
+    return [insult, 1 if 0 < n < 3 else -1, 1 if n > 2 else -1]
+
+
 def toxic_votes(words: list[str], found: set[str], marks: frozenset[str]) -> list[int]:
-    """Insults of a fixed list; a mined stem; several mined stems. The last calls a text without any of them good."""
-    n = len(marks & found)
+    """Insults of a fixed list; a few mined stems; several mined stems. Where none is found, all abstain, which tells something, too."""
     insult = not INSULT_STEMS.isdisjoint(found) and any(bare(w) in INSULTS for w in set(words))
-    return [1 if insult else -1, 1 if n else -1, 1 if n > 2 else -1, 0 if not n and not insult else -1]
+    return stem_votes(1 if insult else -1, len(marks & found))
 
 
 @dataclass
@@ -169,7 +185,7 @@ class Model:
 
 
 def _examined(docs: DataFrame) -> DataFrame:
-    """(quality, toxic, votes, insult, stems, features) of labelled rows: labels as given, heuristic votes and hashed features."""
+    """(quality, toxic, votes, insult, stems, features) of sampled rows: labels as given, heuristic votes and hashed features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -218,18 +234,19 @@ def _patterns(docs: DataFrame, gold: DataFrame, marks: frozenset[str]) -> DataFr
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The label model over all of ``docs`` and the scorers of its posterior labels.
 
-    ``labels`` (the id, quality: 1 good, toxic: 1 toxic, null or missing: unknown) fixes the class of the documents it has;
-    elsewhere the heuristic labellers tell. Votes are counted by pattern over all documents, of which there are few, and
-    expectation-maximisation runs on the counts. Stems are mined from, and scorers fitted on, at most ``sample`` labelled rows,
-    those whose ids have the least hashes; if there are no labels, as many documents. Several label rows of an id count as one, the least.
+    ``labels`` (the id, quality: 1 good, toxic: 1 toxic, null or missing: unknown) is one more labeller, next to the heuristic
+    ones, and calibrates them. Votes are counted by pattern over all documents, of which there are few, and
+    expectation-maximisation runs on the counts. Stems are mined from at most ``sample`` labelled rows, those whose ids have the
+    least hashes. Scorers are fitted on the posteriors of these and of half as many rows without a label, chosen alike; if there
+    are no labels, of ``sample`` rows. Several label rows of an id count as one, the least.
     """
     gold = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = gold.orderBy(F.xxhash64("id"), "id").limit(sample)
+    others = rows.where("id is not null").select("id").distinct().join(gold, "id", "left_anti").orderBy(F.xxhash64("id"), "id")
+    others = others.limit(sample if chosen.isEmpty() else sample // 2).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     # the sample is bounded by its parameter
-    known = rows.join(F.broadcast(chosen), "id")
-    if chosen.isEmpty():
-        known = rows.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+    known = rows.join(F.broadcast(chosen.unionByName(others)), "id")
     seen = _examined(known).toArrow()
     features = [np.frombuffer(x, "<u4") for x in seen["features"].to_pylist()]
     value = lambda name: np.array([-1 if x is None else x for x in seen[name].to_pylist()], np.int64)
@@ -239,8 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = _patterns(rows, gold, marks).toArrow().to_pylist()
     votes = {"quality": [[*v, -1 if q < 0 else 1 - q] for v, q in zip(seen["votes"].to_pylist(), quality.tolist())], "toxic": []}
     for insult, found, x in zip(seen["insult"].to_pylist(), starts, toxic.tolist()):
-        n = len(marks.intersection(found))
-        votes["toxic"].append([insult, 1 if n else -1, 1 if n > 2 else -1, 0 if not n and insult < 0 else -1, x])
+        votes["toxic"].append([*stem_votes(insult, len(marks.intersection(found))), x])
     model = Model(np.zeros((1 << BITS) + 1, "f4"), np.zeros((1 << BITS) + 1, "f4"))
     for task, given in votes.items():
         patterns = sorted((tuple(map(int, r["pattern"].split(","))), r["n"]) for r in counted if r["task"] == task)
@@ -250,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.priors[task], model.accuracies[task], post = expectation_maximisation(names[:, :-1], np.array([n for _, n in patterns], float), names[:, -1])
         of = {p: x for (p, _), x in zip(patterns, post)}
         p = np.array([of.get(tuple(v), model.priors[task]) for v in given])
-        setattr(model, task, fit_linear(features, p))
+        labelled = np.array([v[-1] >= 0 for v in given])
+        setattr(model, task, fit_linear(features, p, weights=np.where(labelled | ~labelled.any(), 1.0, LIGHT)))
     return model
 
 

@@ -42,3 +42,29 @@ def test_odd_rows(spark):
     assert [r._kept for r in got if not (r.text or "").strip()] == [False] * 3
     assert all(r._bad is None for r in got if not (r.text or "").strip())
     assert quality.classify(df.drop("_bad").limit(0), labels).collect() == []
+
+
+def test_labels_are_noisy_votes_and_votes_tell_elsewhere():
+    patterns = np.array([[1, 1, 1], [0, 0, 0], [0, 0, 0], [1, 1, 1], [0, -1, 0]])
+    gold = np.array([-1, -1, 0, 1, 1])
+    _, rates, post = quality.expectation_maximisation(patterns, np.array([500.0, 3000.0, 300.0, 50.0, 2.0]), gold)
+    assert len(rates) == 4 and np.allclose(rates[-1, :, 1], [quality.WRONG, 1 - quality.WRONG])
+    assert post[0] > 0.9 and post[1] < 0.1
+    assert ((0 < post) & (post < 1)).all() and post[2] < 0.01 and post[3] > 0.99
+
+
+def test_scorers_learn_from_votes_on_unlabelled_rows(spark, monkeypatch):
+    fits, real = [], quality.fit_linear
+    monkeypatch.setattr(quality, "fit_linear", lambda rows, p, **k: fits.append((len(rows), p)) or real(rows, p, **k))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").join(docs, "doc_id").select("doc_id", "quality", "toxic")
+    n = labels.count()
+    quality.fit(docs, labels)
+    assert len(fits) == 2 and all(rows > n and len(p) == rows for rows, p in fits)
+    quality.fit(docs, labels, sample=20)
+    assert [rows for rows, _ in fits[2:]] == [30, 30]
+    before = [p.copy() for _, p in fits[:2]]
+    real_votes = quality.quality_votes
+    monkeypatch.setattr(quality, "quality_votes", lambda s, k: [-v if v == 0 else v for v in real_votes(s, k)][:2] + [-1] * 5)
+    quality.fit(docs, labels)
+    assert np.abs(fits[4][1] - before[0]).max() > 1e-3
