@@ -20,6 +20,8 @@ BUCKET = 1_000_000
 SEEN = 300_000
 #: Lines of one group that are compared in one task.
 BLOCK = 2000
+#: Lines of this many characters or more may be the whole limit of edits apart, shorter ones a single edit.
+LONG = 16
 ENTRY = np.dtype([("key", "<u4"), ("line", "<i8")])
 
 
@@ -55,6 +57,15 @@ def probes(length: int, limit: int) -> Iterator[tuple[int, int, int, int]]:
                 yield other, k, at, size
 
 
+def allowances(limit: int, least: int, edited: int | None) -> dict[int, int]:
+    """{length: edits}: what may lie between two lines, by the length of the shorter one, from each length on."""
+    return {least: min(1, limit), max(least, LONG): limit} if edited is None else {edited: limit}
+
+
+def allowed(length: int, steps: dict[int, int]) -> int:
+    return max((edits for start, edits in steps.items() if length >= start), default=0)
+
+
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(id, x, h, g, at, size): each document's distinct lines of at least ``least`` characters, white space stripped."""
 
@@ -76,13 +87,15 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", "x", "text").mapInArrow(run, "id long, x long, h long, g long, at long, size long")
 
 
-def entries(docs: DataFrame, least: int, limit: int, buckets: int) -> DataFrame:
-    """(bucket, indexed, entries): packed index and probe entries of the lines of at least ``least`` characters."""
+def entries(docs: DataFrame, steps: dict[int, int], buckets: int) -> DataFrame:
+    """(bucket, indexed, entries): packed index and probe entries of the lines that ``steps`` allow edits."""
+    least = min(steps)
     slots: dict[int, tuple[list, list]] = {}
 
     def plan(n: int) -> tuple[list, list]:
         if n not in slots:
-            slots[n] = ([(f"{n},{k},", s, s + m) for k, (s, m) in enumerate(segments(n, limit))], [(f"{o},{k},", s, s + m) for o, k, s, m in probes(n, limit)])
+            looked = [x for limit in sorted({*steps.values()}) for x in probes(n, limit) if x[0] >= least and allowed(x[0], steps) == limit]
+            slots[n] = ([(f"{n},{k},", s, s + m) for k, (s, m) in enumerate(segments(n, allowed(n, steps)))], [(f"{o},{k},", s, s + m) for o, k, s, m in looked])
         return slots[n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,27 +188,28 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("text", "want").mapInArrow(run, "node long, h long, line string").dropDuplicates(["node"])
 
 
-def connect(lines: list[str], limit: int) -> list[tuple[int, int]]:
-    """Links between ``lines`` that are within ``limit`` edits, enough of them to connect all that are.
+def connect(lines: list[str], limit: int, steps: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links between ``lines`` that are within ``limit`` edits, or what ``steps`` allow, enough of them to connect all that are.
 
     Each line is compared with the leader of every cluster so far. Members are within ``limit`` of their leader, so a line that is
     more than twice that away from the leader is near none of them; only in between are members compared one by one.
     """
     clusters: list[list[int]] = []
     links = []
+    reach = lambda a, b: limit if steps is None else allowed(min(len(a), len(b)), steps)
     for k, line in enumerate(lines):
         joined = False
         for members in clusters:
             far = within(line, lines[members[0]], 2 * limit)
             if far is None:
                 continue
-            if far <= limit:
+            if far <= reach(line, lines[members[0]]):
                 links.append((members[0], k))
                 if not joined:
                     members.append(k)
                 joined = True
             else:
-                near = next((m for m in members[1:] if within(line, lines[m], limit) is not None), None)
+                near = next((m for m in members[1:] if within(line, lines[m], reach(line, lines[m])) is not None), None)
                 if near is not None:
                     links.append((near, k))
         if not joined:
@@ -203,8 +217,8 @@ def connect(lines: list[str], limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def verified(groups: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
-    """(u, v): links, as nodes, that connect the lines of each group that are within ``limit`` edits.
+def verified(groups: DataFrame, lines: DataFrame, limit: int, steps: dict[int, int]) -> DataFrame:
+    """(u, v): links, as nodes, that connect the lines of each group that are as near as ``steps`` allow, ``limit`` at most.
 
     A group of more lines than a block is compared block against block, in cells that different tasks can take.
     """
@@ -218,7 +232,7 @@ def verified(groups: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
             end = at
             while end < len(grp) and (grp[end], cell[end]) == (grp[at], cell[at]):
                 end += 1
-            found += [(node[at + i], node[at + j]) for i, j in connect(line[at:end], limit)]
+            found += [(node[at + i], node[at + j]) for i, j in connect(line[at:end], limit, steps)]
             at = end
         return pa.table([pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 2], names=["u", "v"])
 
@@ -231,22 +245,23 @@ def verified(groups: DataFrame, lines: DataFrame, limit: int) -> DataFrame:
     return placed.select("grp", "cell", "node", "line", split.alias("part")).groupBy("part").applyInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, limit: int, least: int, edited: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes(docs: DataFrame, limit: int, least: int, edited: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, lines, links) of ``docs(id, x, text)``.
 
     lines: (node, h, g, first, at, size, n_docs, root), a row for each distinct line; first is the least id that has it and
-    root the node of its class' first line. links: (u, v), enough of the nodes within ``limit`` edits to connect all that are.
+    root the node of its class' first line. links: (u, v), enough of the near nodes to connect all that are.
     """
     found = cut(occurrences(docs, least))
     lines = found.groupBy("h", "g").agg(F.min("id").alias("first"), F.min_by("at", "id").alias("at"), F.min_by("x", "id").alias("x"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_docs"))
     lines = cut(lines.withColumn("node", F.monotonically_increasing_id()))
     slots = limit + 1 + sum(1 for _ in probes(100, limit))
-    count = lines.where(F.col("size") >= edited).count()
-    groups = cut(shared(entries(docs, edited, limit, max(1, -(-count * slots // BUCKET)))))
+    steps = allowances(limit, least, edited)
+    count = lines.where(F.col("size") >= min(steps)).count()
+    groups = cut(shared(entries(docs, steps, max(1, -(-count * slots // BUCKET)))))
     named = groups.select("h").distinct()
     wanted = lines.join(named, "h").select("node", "h", "g", F.col("first").alias("id"), "x")
     texts = cut(line_texts(squeezed(docs.select("id", "x", "text")), wanted))
-    links = cut(verified(groups, texts, limit).distinct())
+    links = cut(verified(groups, texts, limit, steps).distinct())
     joined = components(links).withColumnRenamed("id", "node")
     members = lines.join(joined, "node").select("node", "component", "first", "at")
     roots = members.groupBy("component").agg(F.min(F.struct("first", "at", "node")).alias("root"))
@@ -254,11 +269,12 @@ def classes(docs: DataFrame, limit: int, least: int, edited: int) -> tuple[DataF
     return found, lines.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), links
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2, least: int = 8, edited: int = 32) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2, least: int = 8, edited: int | None = None) -> DataFrame:
     """``docs`` with their texts free of repeated lines, and columns _n_lines and _n_dropped.
 
-    Lines of ``edited`` characters or more are linked if they are at most ``limit`` edits apart, shorter ones if they are equal,
-    both without outer white space; lines of fewer than ``least`` characters, empty ones among them, always stay. Of each
+    Lines are linked if they are at most ``limit`` edits apart, or a single one if the shorter has fewer than ``LONG`` characters:
+    two edits would link unlike short lines. With ``edited``, lines of as many characters or more are linked at ``limit`` edits,
+    shorter ones if they are equal. Outer white space is left out; lines of fewer than ``least`` characters, empty ones among them, always stay. Of each
     class, the line that comes first by (id, line number) stays, and every other occurrence is dropped, in the same document too.
     Links are verified, and classes are their connected components.
 

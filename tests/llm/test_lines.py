@@ -135,3 +135,24 @@ def test_connect_finds_every_component():
 
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_production_parameters_reach_short_lines(spark):
+    r = random.Random(7)
+    pool = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(5, 40))).strip() for _ in range(120)]
+    pool += ["The anhely eran.", "Der eingeä erer.", "Hand at."]
+    near = ["The, anhely eran.", "Der, eingeä erer.", "Hand by.", *(edited(r, x, r.randrange(1, 3)) for x in pool)]
+    texts = pool + near
+    df = spark.createDataFrame([(i, t, "a", "b", 1, "c") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    bare = [t.strip() for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            short = min(len(bare[a]), len(bare[b]))
+            if short >= 8 and distance(bare[a], bare[b]) <= (2 if short >= 16 else 1):
+                x, y = sorted((root[a], root[b]))
+                root = [x if c == y else c for c in root]
+    got = {x.doc_id: x._n_dropped for x in lines.dedup(df).collect()}
+    assert got == {i: int(root[i] != i) for i in range(len(texts))}
+    dropped = {texts[i] for i, n in got.items() if n}
+    assert {"The, anhely eran.", "Der, eingeä erer."} <= dropped and "Hand by." not in dropped
