@@ -132,17 +132,22 @@ def statistics(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionByName(edges.rollup("edge_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), F.col("edge_type").alias("type"), "n"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(entity_id, community): the least id that reaches each entity within ``rounds`` rounds of label passing, both ways."""
+def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(entity_id, community): the least id that reaches each entity by label passing, both ways, until no label moves.
+
+    If ``rounds`` are given and labels still move after as many, it fails.
+    """
     both = _kept(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct())
     labels = both.select(F.col("a").alias("entity_id"), F.col("a").alias("community")).distinct()
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
         passed = both.join(labels, F.col("a") == F.col("entity_id")).groupBy("b").agg(F.min("community").alias("offer"))
         new = _kept(labels.join(passed, F.col("entity_id") == F.col("b"), "left").select("entity_id", F.least("community", F.coalesce("offer", "community")).alias("community"), (F.col("offer") < F.col("community")).alias("moved")))
         labels = new.drop("moved")
+        done += 1
         if new.where("moved").isEmpty():
-            break
-    return labels
+            return labels
+    raise ValueError(f"labels still move after {rounds} rounds")
 
 
 def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:

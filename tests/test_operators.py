@@ -245,3 +245,11 @@ def test_catalog(spark):
     assert c.store_memory("1", "t", [1.0])[0].count() == 1
     with pytest.raises(InvalidRequest):
         c.detect_anomalies("m", threshold_std=99)
+
+
+def test_communities_follow_long_chains(spark):
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}", "t") for k in range(14)] + [("x", "y", "t")], "source_id string, target_id string, edge_type string")
+    got = {r.entity_id: r.community for r in graph.communities(edges).collect()}
+    assert got == {f"n{k:02}": "n00" for k in range(15)} | {"x": "x", "y": "x"}
+    with pytest.raises(ValueError):
+        graph.communities(edges, 3)
