@@ -13,12 +13,9 @@ def within(a: str, b: str, limit: int) -> int | None:
         return None
     if a == b:
         return 0
-    s, n = 0, min(len(a), len(b))
-    while s < n and a[s] == b[s]:
-        s += 1
-    e = 0
-    while e < n - s and a[-1 - e] == b[-1 - e]:
-        e += 1
+    n = min(len(a), len(b))
+    s = _common(n, lambda k, j: a[k:j] == b[k:j])
+    e = _common(n - s, lambda k, j: a[len(a) - j : len(a) - k] == b[len(b) - j : len(b) - k])
     a, b = a[s : len(a) - e], b[s : len(b) - e]
     if len(a) > len(b):
         a, b = b, a
@@ -53,6 +50,15 @@ def within(a: str, b: str, limit: int) -> int | None:
     return score if score <= limit else None
 
 
+def _common(n: int, equal) -> int:
+    """How many of ``n`` places agree from the start on, found by halving; ``equal`` compares places from one to another."""
+    low, high = 0, n + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if equal(low, mid) else (low, mid)
+    return low
+
+
 def nearest(pattern: str, text: str) -> tuple[int, int]:
     """(distance, end): the least edit distance of ``pattern`` to any substring of ``text``, and where the first such ends.
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from loam.llm import lines
@@ -48,11 +49,25 @@ def test_near_lines_share_a_segment():
         if len(b) < 6 or distance(a, b) > 2:
             continue
         s, t = sorted((a, b), key=len)
-        index = {(len(s), k, s[p : p + n]) for k, (p, n) in enumerate(lines.segments(len(s), 2))}
-        assert any((o, k, t[p : p + n]) in index for o, k, p, n in lines.probes(len(t), 2)), (a, b)
+        entered, looked = ({(int(o[0]), k, x[int(p[0]) : int(p[0] + n[0])]) for _, o, k, p, n in lines.slots(np.array([len(x)]), 2, own)} for x, own in ((s, True), (t, False)))
+        assert entered & looked, (a, b)
 
 
-def brute(rows, limit=2, least=4, long=10):
+@pytest.mark.parametrize("huge", [1 << 20, 12])
+def test_hashes_agree_where_substrings_do(monkeypatch, huge):
+    monkeypatch.setattr(lines, "HUGE", huge)
+    r = random.Random(4)
+    some = ["".join(r.choice("abé\U0001f600") for _ in range(r.randrange(8, 30))) for _ in range(300)]
+    length = np.array([len(x) for x in some])
+    seen = {}
+    for side in lines.hashed(some, length, lines.allowed(length, 2, 8), 2, 8):
+        for h, which, start, size in zip(*(x.tolist() for x in side)):
+            assert size > 0
+            seen.setdefault(h, set()).add(some[which][start : start + size])
+    assert len(seen) > 1000 and all(len(x) == 1 for x in seen.values())
+
+
+def brute(rows, limit=2, least=4, per=5):
     first, order = {}, []
     for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for k, line in enumerate((text or "").split("\n")):
@@ -69,7 +84,7 @@ def brute(rows, limit=2, least=4, long=10):
 
     for a, x in enumerate(order):
         for y in order[:a]:
-            if len(x) >= long and len(y) >= long and within(x, y, limit) is not None:
+            if within(x, y, min(limit, len(x) // per, len(y) // per)) is not None:
                 p, q = sorted((find(x), find(y)), key=first.get)
                 root[q] = p
     out = []
@@ -89,11 +104,17 @@ def brute(rows, limit=2, least=4, long=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(lines, "BUCKET", 300)
     monkeypatch.setattr(lines, "SEEN", 50)
     monkeypatch.setattr(lines, "BLOCK", 5 if seed == 2 else 2000)
+    if seed == 3:  # every group is split by a second segment
+        monkeypatch.setattr(lines, "BLOCK", 1)
+        monkeypatch.setattr(lines, "CHARS", 64)
+        monkeypatch.setattr(lines, "PACK", 500)
+        monkeypatch.setattr(lines, "FREQUENT", 0)
+        monkeypatch.setattr(lines, "FLOOR", 2)
     r = random.Random(seed)
     pool = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(3, 40))) for _ in range(60)]
     rows = []
@@ -102,7 +123,7 @@ def test_equals_brute_force(spark, monkeypatch, seed):
         rows.append((i, "\n".join(r.choice(["", " "]) + (edited(r, x, r.randrange(3)) if r.random() < 0.5 else x) for x in picked)))
     rows += [(500, None), (501, ""), (502, rows[1][1]), (503, rows[1][1]), (None, rows[1][1]), (None, None), (504, "é" * 5000 + "\n" + "ñ" * 5000)]
     df = spark.createDataFrame([(i, t, "a", "b", 1, "c") for i, t in rows], SCHEMA).repartition(3)
-    out = lines.dedup(df, least=4, edited=10)
+    out = lines.dedup(df, least=4, per=5)
     assert out.columns[:6] == df.columns
     got = out.collect()
     assert all((x.id, x.x, x.h, x.drops) == ("a", "b", 1, "c") for x in got)
@@ -149,7 +170,7 @@ def test_production_parameters_reach_short_lines(spark):
     for a in range(len(texts)):
         for b in range(a):
             short = min(len(bare[a]), len(bare[b]))
-            if short >= 8 and distance(bare[a], bare[b]) <= (2 if short >= 16 else 1):
+            if distance(bare[a], bare[b]) <= min(2, short // 8):
                 x, y = sorted((root[a], root[b]))
                 root = [x if c == y else c for c in root]
     got = {x.doc_id: x._n_dropped for x in lines.dedup(df).collect()}
