@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds on its way to a Python worker; with whole texts the default of 10,000 is too much memory.
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 8_000_000
+#: Share of all rows that makes a key frequent, there being fewer than its inverse of such keys, and the least rows that do.
+FREQUENT, FLOOR = 1 / 2000, 1000
+
+
+def bound(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables; Arrow batches are kept small because texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bound(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,7 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: the lineage ends and lost executors cost nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
@@ -44,6 +52,19 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     return ranked.join(offsets, [*keys, "_salt"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_salt", "_within", "_before")
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``facts`` on ``keys``; column ``n`` of ``facts``, one row a key, says how many rows have it.
+
+    A key that makes up more than ``FREQUENT`` of all rows would be one task's in a shuffle; those are broadcast, being few.
+    """
+    facts = cut(facts)
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    many = F.col(n) > max(FLOOR, int(total * FREQUENT))
+    hot = rows.join(F.broadcast(facts.where(many)), keys)
+    cold = rows.join(F.broadcast(facts.where(many).select(*keys)), keys, "left_anti").join(facts.where(~many), keys)
+    return hot.unionByName(cold).drop(n)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as (id, component), component being the smallest id reachable.
 

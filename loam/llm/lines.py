@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, join_counted, table
 from .edits import within
 
 #: Entries of a bucket of the segment index, about.
@@ -27,8 +27,6 @@ TOGETHER = 5000, 4_000_000
 CHARS, PACK = 1 << 19, 500_000
 #: Segments of lines of more characters than this are hashed one by one, so that memory doesn't grow with a line.
 HUGE = 1 << 20
-#: Share of all occurrences that makes a line frequent: there are fewer than its inverse of such lines.
-FREQUENT, FLOOR = 1 / 2000, 1000
 ENTRY = np.dtype([("key", "<u4"), ("line", "<i8")])
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
@@ -398,16 +396,9 @@ def classes(docs: DataFrame, limit: int, least: int, per: int) -> tuple[DataFram
 
 
 def dropped(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, x, drops): the numbers of the lines that each document loses.
-
-    A line that makes up more than ``FREQUENT`` of all occurrences would be one task's in a shuffle; there are few of them, and they are broadcast.
-    """
-    keys = ["h", "g"]
-    fate = cut(lines.where("n_docs > 1 or root <> node").select(*keys, "n_docs", F.col("first").alias("_first"), (F.col("root") == F.col("node")).alias("_stays")))
-    many = F.col("n_docs") > max(FLOOR, int(found.count() * FREQUENT))
-    hot = found.join(F.broadcast(fate.where(many)), keys)
-    cold = found.join(F.broadcast(fate.where(many).select(*keys)), keys, "left_anti").join(fate.where(~many), keys)
-    gone = hot.unionByName(cold).where(~F.col("_stays") | (F.col("id") > F.col("_first"))).select("id", "x", F.array("at").alias("numbers"))
+    """(id, x, drops): the numbers of the lines that each document loses."""
+    fate = lines.where("n_docs > 1 or root <> node").select("h", "g", "n_docs", F.col("first").alias("_first"), (F.col("root") == F.col("node")).alias("_stays"))
+    gone = join_counted(found, fate, ["h", "g"], "n_docs").where(~F.col("_stays") | (F.col("id") > F.col("_first"))).select("id", "x", F.array("at").alias("numbers"))
     again = found.where("more is not null").select("id", "x", F.col("more").alias("numbers"))
     # a line that goes goes with its repeats
     return gone.unionByName(again).groupBy("id", "x").agg(F.flatten(F.collect_list("numbers")).alias("drops"))

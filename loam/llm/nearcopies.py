@@ -1,4 +1,4 @@
-"""Links between texts whose word shingles have a Jaccard similarity of a threshold or more: MinHash bands, verified."""
+"""Classes of texts whose word shingles have a Jaccard similarity of a threshold or more: MinHash bands, verified."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_width
-from .lines import squeezed
+from .common import components, cut, join_counted
+from .lines import key, squeezed
 
 #: Bands of MinHash values, and values in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
 #: Members of one group that are compared in one task.
 BLOCK = 500
+#: Shingle sets, and bytes of them, that one call of the comparison takes, about.
+TOGETHER = 2000, 16_000_000
 #: Words whose hashes a task remembers.
 KNOWN = 300_000
 _random = np.random.default_rng(42)
@@ -87,15 +89,18 @@ def connect(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return links
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(u, v): ids whose texts' word shingles have a Jaccard similarity of ``threshold`` or more, enough to connect all that have.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, x, label): a number for each row's class, x being a hash of its text.
 
-    1. Texts of equal shingles are one node, linked to the least id among them.
+    Texts are linked if their word shingles have a Jaccard similarity of ``threshold`` or more; classes are the connected components.
+
+    1. Texts of equal shingles, by 128 bits, are one node.
     2. Nodes that agree in a band of MinHash values form a group. Groups are counted and listed, never paired; of groups of the
        same members one is kept. Every member is compared with the group's least, on exact shingles.
     3. Groups that this leaves in more than one component are compared as a whole, with leaders, in cells of two blocks.
 
-    Every link is verified; what bands miss is in ``BANDS``. Texts without words and null ids have no links.
+    Every link is verified; what bands miss is in ``BANDS``. Rows of null ids or of texts without words are left out. Rows of one
+    id are told apart by their texts. An empty table gives none.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +110,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             for i, t, x in zip(*(c.to_pylist() for c in b.columns)):
                 own = shingles(t)
                 if len(own):
-                    out.append((i, x, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), bands(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (*[pa.int64()] * 3, pa.list_(pa.int64())))], ["id", "x", "node", "bands"])
+                    out.append((i, x, *key(own.tobytes()), bands(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, (*[pa.int64()] * 4, pa.list_(pa.int64())))], ["id", "x", "h", "g", "bands"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, inflate = Shingles(width), zstandard.ZstdDecompressor().decompress
@@ -135,10 +140,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
     rows = rows.withColumn("x", F.xxhash64("text"))
-    sketches = cut(rows.mapInArrow(sketch, "id long, x long, node long, bands array<long>"))
-    firsts = F.min(F.struct("id", "x"))
-    nodes = cut(sketches.groupBy("node").agg(firsts.alias("first"), F.first("bands").alias("bands")).select("node", F.col("first.id").alias("rep"), F.col("first.x").alias("x"), "bands"))
-    equal = sketches.select("id", "node").join(nodes.select("node", "rep"), "node").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    sketches = cut(rows.mapInArrow(sketch, "id long, x long, h long, g long, bands array<long>"))
+    numbered = sketches.groupBy("h", "g").agg(F.min(F.struct("id", "x")).alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows"))
+    nodes = cut(numbered.select(F.monotonically_increasing_id().alias("node"), "h", "g", F.col("first.id").alias("rep"), F.col("first.x").alias("x"), "bands", "n_rows"))
     reach = nodes.select("node", F.explode("bands").alias("value"))
     total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
     met = reach.groupBy("value").agg(F.min("node").alias("lo"), F.count(F.lit(1)).alias("n"), total.alias("total")).where("n > 1")
@@ -154,14 +158,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     parted = members.join(components(near).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # pairs were compared already
     open_groups = parted.where("n > 2").groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("value")
-    blocks = members.join(open_groups, "value").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    blocks = cut(members.join(open_groups, "value").withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(own, k) * F.col("blocks") + F.greatest(own, k))
     placed = blocks.select(F.col("value").alias("grp"), "node", F.explode(cells).alias("cell")).join(sets, "node")
-    split = F.pmod(F.xxhash64("grp", "cell"), F.lit(64 * shuffle_width(docs.sparkSession)))
+    known = sets.agg(F.avg(F.length("own"))).first()[0] or 0
+    total = blocks.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(1, -(-total // TOGETHER[0]), int(total * known) // TOGETHER[1])
+    split = F.pmod(F.xxhash64("grp", "cell"), F.lit(parts))
     rest = placed.select("grp", "cell", "node", "own", split.alias("part")).groupBy("part").applyInArrow(compare, "u long, v long")
-
-    reps = nodes.select("node", "rep")
-    found = cut(near.unionByName(rest).distinct())
-    ends = found.join(reps.toDF("u", "a"), "u").join(reps.toDF("v", "b"), "v").where("a <> b")
-    return ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(equal).distinct()
+    groups_of = components(near.unionByName(rest)).withColumnsRenamed({"id": "node", "component": "label"})
+    labels = nodes.select("node", "h", "g", "n_rows").join(groups_of, "node", "left").select("h", "g", "n_rows", F.coalesce("label", "node").alias("label"))
+    return join_counted(sketches.select("id", "x", "h", "g"), labels, ["h", "g"], "n_rows").select("id", "x", "label")

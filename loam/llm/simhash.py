@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_width, table
+from .common import components, cut, join_counted, shuffle_width, table
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK = 1 << 20
@@ -53,14 +53,14 @@ def _ones(words: list[bytes], width: int) -> tuple[int, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp bigint) for every row of ``docs``; a null text counts as no words."""
+    """(id, x, fp bigint) for every row of ``docs``, x being a hash of its text; a null text counts as no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x, width) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(x, width) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "x", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, x long, fp long")
 
 
 def balls(fp: str, radius: int):
@@ -73,33 +73,33 @@ def balls(fp: str, radius: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """(id, fp bigint, component): fingerprints at most ``distance`` bits apart (an even number) are linked.
+    """(id, x, fp bigint, root, component): fingerprints at most ``distance`` bits apart (an even number) are linked.
 
     Meet in the middle: each distinct fingerprint emits every value within distance / 2 bits of itself. Two fingerprints
     are within ``distance`` exactly if they share such a value. Fingerprints, not documents, are shuffled on the values,
     so a group of copies is one row, and a value collects at most as many rows as a ball has points: no key can be hot.
-    Members of a value's group are linked to the group's least member, after the distance is verified, instead of pairwise.
+    Members of a value's group are linked to the group's least fingerprint instead of pairwise, the distance being verified.
 
-    Null texts count as empty; empty texts share fingerprint 0 and are linked with each other. Rows with equal ids are
-    kept. Null ids keep their row; their component is the least non-null id reachable, or null. An empty table gives none.
+    ``root`` names a component by one of its fingerprints, ``component`` by its least id. Null texts count as empty; empty texts
+    share fingerprint 0 and are linked with each other. Rows with equal ids are kept, and linked by their own texts only. Null
+    ids keep their row and link others; the component is the least non-null id reachable, or null. An empty table gives none.
     """
     if distance % 2:
         raise ValueError("distance must be even")
     fps = cut(fingerprints(docs, id_col, text_col, width))
-    reps = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    reps = cut(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows")))
     # few bytes become many rows, so fingerprints are spread over all tasks before they do
-    spread = reps.where("rep is not null").repartition(shuffle_width(docs.sparkSession), "fp")
-    reach = spread.select("rep", "fp", F.explode(balls("fp", distance // 2)).alias("value"))
-    met = cut(reach.groupBy("value").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    pairs = met.where("n = 2").select("lo", F.col("hi").alias("rep"))
+    spread = reps.select("fp").repartition(shuffle_width(docs.sparkSession), "fp")
+    reach = spread.select("fp", F.explode(balls("fp", distance // 2)).alias("value"))
+    met = cut(reach.groupBy("value").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    pairs = met.where("n = 2").select("lo", F.col("hi").alias("fp"))
     # where three or more meet, they are among the points of the value's own ball
-    larger = met.where("n > 2").select("lo", F.explode(balls("value", distance // 2)).alias("fp")).join(reps, "fp").where("rep <> lo").select("lo", "rep")
-    links = pairs.unionByName(larger).distinct()
-    left = reps.select(F.col("rep").alias("lo"), F.col("fp").alias("lo_fp"))
-    checked = links.join(left, "lo").join(reps, "rep").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lo_fp"))) <= distance)
-    groups_of = components(checked.select(F.col("rep").alias("u"), F.col("lo").alias("v")))
-    named = reps.join(groups_of, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp").select("id", "fp", "component")
+    larger = met.where("n > 2").select("lo", F.explode(balls("value", distance // 2)).alias("fp")).join(reps.select("fp"), "fp").where("fp <> lo").select("lo", "fp")
+    links = pairs.unionByName(larger).distinct().where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))) <= distance)
+    groups_of = components(links.select(F.col("fp").alias("u"), F.col("lo").alias("v"))).toDF("fp", "root")
+    rooted = reps.join(groups_of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "root", "component", "n_rows")
+    return join_counted(fps, named, ["fp"], "n_rows").select("id", "x", "fp", "root", "component")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

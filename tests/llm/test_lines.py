@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loam.llm import lines
+from loam.llm import common, lines
 from loam.llm.edits import nearest, within
 
 SCHEMA = "doc_id long, text string, id string, x string, h long, drops string"
@@ -113,8 +113,8 @@ def test_equals_brute_force(spark, monkeypatch, seed):
         monkeypatch.setattr(lines, "BLOCK", 1)
         monkeypatch.setattr(lines, "CHARS", 64)
         monkeypatch.setattr(lines, "PACK", 500)
-        monkeypatch.setattr(lines, "FREQUENT", 0)
-        monkeypatch.setattr(lines, "FLOOR", 2)
+        monkeypatch.setattr(common, "FREQUENT", 0)
+        monkeypatch.setattr(common, "FLOOR", 2)
     r = random.Random(seed)
     pool = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(3, 40))) for _ in range(60)]
     rows = []

@@ -56,6 +56,7 @@ def test_equals_brute_force(spark, monkeypatch):
         w = list(base)
         w[r.randrange(400)] = "other"
         rows.append((1000 + i, " ".join(w)))
+    rows += [(None, "xx yy zz"), (2003, "p q"), (2003, "r s"), (2004, "R S")]
     rows += [(2000, None), (2001, ""), (None, "ab Cd ef"), (None, "quite alone here now"), (2002, " ".join(base)), (2002, " ".join(base))]
     df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], SCHEMA).repartition(3)
     got = {(x.id, x.fp % (1 << 64), x.component) for x in simhash.near_duplicates(df).collect()}
@@ -67,13 +68,19 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_many_meet_in_one_value(spark, monkeypatch):
     fps = [0] + [1 << b for b in range(64)] + [(1 << 20) | (1 << 21) | (1 << 22) | (1 << 23)]
-    df = spark.createDataFrame([(i + 1, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long")
+    df = spark.createDataFrame([(i + 1, 0, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "id long, x long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda *a: df)
     got = {r.id: r.component for r in simhash.near_duplicates(df).collect()}
     want = least_reachable(list(range(1, len(fps) + 1)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert [got[k + 1] for k in range(len(fps))] == want
 
 
+def test_a_row_without_an_id_links_others(spark, monkeypatch):
+    df = spark.createDataFrame([(7, 0, 0), (None, 0, 1), (9, 0, 7)], "id long, x long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: df)
+    assert {(r.fp, r.component) for r in simhash.near_duplicates(df).collect()} == {(0, 7), (1, 7), (7, 7)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     r = np.random.default_rng(seed)
