@@ -46,7 +46,7 @@ def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rows = clustered(1, 150)
     one = [1.0] + [0.0] * 63
-    rows += [(9000 + k, one, 1) for k in range(30)] + [(9100, [x * 3 for x in one], 1), (9101, one, 0), (9102, one, None), (9103, None, 1), (9104, [], 1), (9105, [0.0] * 64, 1), (9106, [None] + one[1:], 1), (9107, [float("nan")] + one[1:], 1), (9108, [float("inf")] + one[1:], 1), (9109, [1.0, 2.0], 1), (9109, [1.0, 2.0], 1)]
+    rows += [(9000 + k, one, 1) for k in range(30)] + [(9100, [x * 3 for x in one], 1), (9101, one, 0), (9102, one, None), (9103, None, 1), (9104, [], 1), (9105, [0.0] * 64, 1), (9106, [None] + one[1:], 1), (9107, [float("nan")] + one[1:], 1), (9108, [float("inf")] + one[1:], 1), (9109, [1.0, 2.0], 1), (9109, [1.0, 2.0], 1), (9110, [2.0], 1), (9111, [3.0], 1), (9112, [-3.0], 1)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(3)
     got = sorted(tuple(r) for r in embeddings.near_duplicates(df).collect())
     assert got == brute(rows)
@@ -66,5 +66,20 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.99 * 400
 
 
+def test_a_row_without_an_id_links_others(spark):
+    x, y = [1.0] + [0.0] * 63, [0.95] + [0.0] * 62 + [0.2]
+    df = spark.createDataFrame([(4, x, 1, 1, "x"), (None, y, 1, 1, "x"), (7, y, 1, 1, "x"), (None, None, 1, 1, "x")], SCHEMA)
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str) == [(4, 2, 4, True), (7, 2, 4, False), (None, 0, None, True), (None, 2, 4, False)]
+
+
+def test_registered_query_links(spark, tmp_path):
+    rows = clustered(3, 60)
+    spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = embeddings.op2_embeddings(spark, str(tmp_path))
+    assert found.columns == ["vec_id", "n_links", "component_id", "kept"]
+    got = sorted(map(tuple, found.collect()))
+    assert got == brute(rows) and sum(n for _, n, _, _ in got) > 50
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
