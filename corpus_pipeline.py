@@ -20,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts have no words. Rows are judged one by one: repeated rows and null ids stay or go by their texts.
     """
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("_kept").select(*COLUMNS)
+    return quality.classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("_kept").select(*COLUMNS)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay, as do rows without an id, unchanged. Repeated rows of one id lose the same lines.
     """
-    kept = lines.dedup(docs).where("_n_dropped = 0 or trim(text) <> ''")
+    kept = lines.dedup(docs.select(*COLUMNS)).where("_n_dropped = 0 or trim(text) <> ''")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -45,14 +45,14 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     joined = components(shared.join(shared.groupBy("root").agg(F.min("label").alias("v")), "root").select(F.col("label").alias("u"), "v"))
     firsts = known.groupBy("label").agg(F.min(F.struct("id", "x")).alias("first")).join(joined.withColumnRenamed("id", "label"), "label", "left")
     stay = firsts.groupBy(F.coalesce("component", "label")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("doc_id"), F.col("first.x").alias("_x"))
-    hashed = docs.withColumn("_x", F.xxhash64("text"))
+    hashed = docs.select(*COLUMNS).withColumn("_x", F.xxhash64("text"))
     once = hashed.join(stay, ["doc_id", "_x"], "left_semi").dropDuplicates(["doc_id", "_x"])
     return once.unionByName(hashed.where("doc_id is null")).select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go. Null and empty texts hold none; repeated rows and null ids go by their texts."""
-    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return leaks.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

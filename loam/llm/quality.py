@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import cut, table
 
 BITS = 18
 #: Labelled rows that the stems are mined from and the scorers are fitted on, at most: those of the least hashes. Half as many
@@ -65,7 +65,7 @@ def _bucket(name: str) -> bytes:
 
 
 def bare(word: str) -> str:
-    return word.lower().strip(EDGES)[:64]
+    return word.lower().strip(EDGES)
 
 
 def stems(words: list[str]) -> set[str]:
@@ -76,9 +76,9 @@ def stems(words: list[str]) -> set[str]:
 class Features:
     """Hashed features that occur in a text: its words, their first five letters, the marks they end in, and its shares in steps."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 300_000, longest: int = 64):
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __call__(self, words: list[str], s: dict[str, float]) -> np.ndarray:
         known, parts = self.known, [_bucket(f"{k}:{min(9, int(10 * v))}:{int(100 * v) if v < 0.05 else ''}") for k, v in s.items()]
@@ -91,7 +91,8 @@ class Features:
                 got = _bucket("w:" + b) + _bucket("s:" + b[:5])
                 if not w[-1].isalnum():
                     got += _bucket("m:" + w[-3:].lstrip(b))
-                known[w] = got
+                if len(w) <= self.longest:
+                    known[w] = got
             parts.append(got)
         return np.unique(np.frombuffer(b"".join(parts), "<u4"))
 
@@ -153,14 +154,13 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, gold: np.
     return float(prior), rates, new
 
 
-def mine(rows: list[list[str]], toxic: np.ndarray, least: int = 8, most: int = 2000) -> frozenset[str]:
+def mine(rows: list[list[str]], toxic: np.ndarray, least: int = 8) -> frozenset[str]:
     """The stems that mark toxic rows among labelled ones: in ``least`` of them or more, and in next to no other row."""
     hits, other = Counter(), Counter()
     for found, t in zip(rows, toxic.tolist()):
         if t >= 0:
             (hits if t else other).update(found)
-    marks = [x for x, n in hits.items() if x and n >= least and other[x] <= 0.004 * n]
-    return frozenset(sorted(marks, key=lambda x: (-hits[x], x))[:most])
+    return frozenset(x for x, n in hits.items() if x and n >= least and other[x] <= 0.004 * n)
 
 
 def stem_votes(insult: int, n: int) -> list[int]:
@@ -185,22 +185,22 @@ class Model:
 
 
 def _examined(docs: DataFrame) -> DataFrame:
-    """(quality, toxic, votes, insult, stems, features) of sampled rows: labels as given, heuristic votes and hashed features."""
+    """(id, quality, toxic, votes, insult, stems, features) of sampled rows: labels as given, heuristic votes and hashed features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
             votes, insults, starts, found = [], [], [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 words = (t or "").split()
                 s = shares(t or "", words)
                 starts.append(sorted(stems(words)))
                 votes.append(quality_votes(s, len(words)))
                 insults.append(toxic_votes(words, set(starts[-1]), frozenset())[0])
                 found.append(features(words, s).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(votes, pa.list_(pa.int32())), pa.array(insults, pa.int32()), pa.array(starts, pa.list_(pa.string())), pa.array(found, pa.binary())], ["quality", "toxic", "votes", "insult", "stems", "features"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(votes, pa.list_(pa.int32())), pa.array(insults, pa.int32()), pa.array(starts, pa.list_(pa.string())), pa.array(found, pa.binary())], ["id", "quality", "toxic", "votes", "insult", "stems", "features"])
 
-    return docs.select("quality", "toxic", "text").mapInArrow(run, "quality int, toxic int, votes array<int>, insult int, stems array<string>, features binary")
+    return docs.select("id", "quality", "toxic", "text").mapInArrow(run, "id long, quality int, toxic int, votes array<int>, insult int, stems array<string>, features binary")
 
 
 def _votes(docs: DataFrame, marks: frozenset[str]) -> DataFrame:
@@ -239,15 +239,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     expectation-maximisation runs on the counts. Stems are mined from at most ``sample`` labelled rows, those whose ids have the
     least hashes. Scorers are fitted on the posteriors of these and of half as many rows without a label, chosen alike; if there
     are no labels, of ``sample`` rows. Several label rows of an id count as one, the least.
+
+    Null and empty texts have no words and no votes; they weigh in the scorers, if sampled, by their labels alone. Rows with a null id vote,
+    unlabelled. Repeated rows count as often as they occur, labels of ids that ``docs`` lacks not at all. Without rows there is
+    nothing to fit: all weights are zero.
     """
     gold = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = gold.orderBy(F.xxhash64("id"), "id").limit(sample)
-    others = rows.where("id is not null").select("id").distinct().join(gold, "id", "left_anti").orderBy(F.xxhash64("id"), "id")
+    present = rows.where("id is not null").select("id").distinct()
+    chosen = cut(gold.join(present, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample))
+    others = present.join(gold, "id", "left_anti").orderBy(F.xxhash64("id"), "id")
     others = others.limit(sample if chosen.isEmpty() else sample // 2).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     # the sample is bounded by its parameter
     known = rows.join(F.broadcast(chosen.unionByName(others)), "id")
-    seen = _examined(known).toArrow()
+    # in an order that doesn't depend on partitions, which the scorers' steps follow
+    seen = _examined(known).toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
     features = [np.frombuffer(x, "<u4") for x in seen["features"].to_pylist()]
     value = lambda name: np.array([-1 if x is None else x for x in seen[name].to_pylist()], np.int64)
     quality, toxic = value("quality"), value("toxic")
@@ -272,7 +278,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with _bad and _toxic, the scorers' probabilities; null where a text is null or has no words."""
+    """``docs`` with _bad and _toxic, the scorers' probabilities; null where a text is null or has no words.
+
+    Rows are scored one by one, whole texts, whatever their ids and other columns. An empty table gives none.
+    """
+    return _scored(docs, model, text_col).toDF(*docs.columns, "_bad", "_toxic")
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """As ``score``, the columns of ``docs`` by number."""
     shared = docs.sparkSession.sparkContext.broadcast((model.quality, model.toxic))
     at = docs.columns.index(text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -290,7 +304,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64()) for x in out)], [*names, "_bad", "_toxic"])
 
     schema = StructType([*plain.schema, StructField("_bad", DoubleType()), StructField("_toxic", DoubleType())])
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "_bad", "_toxic")
+    return plain.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bad: float = 0.6, toxic: float = 0.25) -> DataFrame:
@@ -299,8 +313,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Rows without words (null or empty texts, white space) have null scores and are not kept. Rows are scored one by one:
     repeated rows, null ids and further columns, whatever their names, come back as they are. An empty table gives none.
     """
-    scored = score(docs, fit(docs, labels, id_col, text_col), text_col)
-    return scored.withColumn("_kept", F.coalesce((F.col("_bad") < bad) & (F.col("_toxic") < toxic), F.lit(False)))
+    scored = _scored(docs, fit(docs, labels, id_col, text_col), text_col)
+    kept = F.coalesce((F.col("_bad") < bad) & (F.col("_toxic") < toxic), F.lit(False))
+    return scored.withColumn("_kept", kept).toDF(*docs.columns, "_bad", "_toxic", "_kept")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

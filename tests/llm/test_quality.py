@@ -37,8 +37,8 @@ def test_odd_rows(spark):
     good = "It was a fine day. We went out to see the sea, and came home late in the evening."
     rows = [(1, good, "a", "b", "c"), (1, good, "a", "b", "c"), (2, None, None, None, None), (3, "", "a", "b", "c"), (4, " \n", "a", "b", "c"), (None, good, "a", "b", "c"), (5, "word " * 300_000, "a", "b", "c")]
     df, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = quality.classify(df.withColumnRenamed("_bad", "bad"), labels).collect()
-    assert len(got) == len(rows)
+    got = quality.classify(df.withColumnsRenamed({"_bad": "bad"}), labels).collect()
+    assert len(got) == len(rows) == quality.classify(df, labels).count()
     assert [r._kept for r in got if not (r.text or "").strip()] == [False] * 3
     assert all(r._bad is None for r in got if not (r.text or "").strip())
     assert quality.classify(df.drop("_bad").limit(0), labels).collect() == []
@@ -68,3 +68,90 @@ def test_scorers_learn_from_votes_on_unlabelled_rows(spark, monkeypatch):
     monkeypatch.setattr(quality, "quality_votes", lambda s, k: [-v if v == 0 else v for v in real_votes(s, k)][:2] + [-1] * 5)
     quality.fit(docs, labels)
     assert np.abs(fits[4][1] - before[0]).max() > 1e-3
+
+
+def _naive_em(patterns, rounds=200):
+    """{pattern: posterior}, the label last in each; loops, one pattern and labeller at a time."""
+    wrong, light, labelled = quality.WRONG, quality.LIGHT, any(p[-1] >= 0 for p in patterns)
+    size = len(next(iter(patterns))) - 1
+    post = {}
+    for p in patterns:
+        given = [v for v in p[:-1] if v >= 0]
+        post[p] = p[-1] if p[-1] >= 0 else (sum(given) + 0.02) / (len(given) + 0.2) if given else 0.1
+    weight = {p: n * (light if labelled and p[-1] < 0 else 1) for p, n in patterns.items()}
+    for _ in range(rounds):
+        prior = (sum(weight[p] * post[p] for p in patterns) + 1) / (sum(weight.values()) + 10)
+        rate = [[{v: x for v, x in zip((0, 1, -1), start)} for start in ((2, 0.5, 1), (0.5, 2, 1))] for _ in range(size)]
+        for p in patterns:
+            for j in range(size):
+                rate[j][0][p[j]] += weight[p] * (1 - post[p])
+                rate[j][1][p[j]] += weight[p] * post[p]
+        new = {}
+        for p in patterns:
+            like = [1 - prior, prior]
+            for c in (0, 1):
+                for j in range(size):
+                    like[c] *= rate[j][c][p[j]] / sum(rate[j][c].values())
+                if p[-1] >= 0:
+                    like[c] *= 1 - wrong if p[-1] == c else wrong
+            new[p] = like[1] / sum(like)
+        if max(abs(new[p] - post[p]) for p in patterns) < 1e-9:
+            return new
+        post = new
+    return post
+
+
+def _naive_scorer(rows, p, weights, epochs=4, rate=0.3, lasso=0.0015, ridge=0.1):
+    """{feature: weight} and the intercept, one feature at a time."""
+    z, n, w = {}, {}, {}
+    share = min(max(sum(a * b for a, b in zip(p, weights)) / sum(weights), 1e-3), 1 - 1e-3)
+    order, lasso = np.random.default_rng(0), max(1.0, lasso * sum(weights))
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            every = [*rows[k].tolist(), "bias"]
+            guess = 1 / (1 + np.exp(-sum(w.get(i, 0) for i in every)))
+            g = weights[k] * (guess - p[k]) * (p[k] / 2 / share + (1 - p[k]) / 2 / (1 - share))
+            for i in every:
+                z[i] = z.get(i, 0) + g - ((n.get(i, 0) + g * g) ** 0.5 - n.get(i, 0) ** 0.5) / rate * w.get(i, 0)
+                n[i] = n.get(i, 0) + g * g
+                off = 0 if i == "bias" else lasso
+                w[i] = 0 if abs(z[i]) <= off else -(z[i] - np.sign(z[i]) * off) / ((1 + n[i] ** 0.5) / rate + ridge)
+    return w
+
+
+def test_equals_brute_force(spark):
+    """The registered method on a small table against loops over patterns, labellers and features."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("doc_id % 3 > 0")
+    docs = docs.unionByName(spark.createDataFrame([(None, "It was fine. We went home."), (10**6, None), (10**6 + 1, " ")], docs.schema)).repartition(3)
+    rows, gold = [tuple(r) for r in docs.collect()], {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    features = quality.Features()
+    sampled = []
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        words = (t or "").split()
+        sampled.append((i, words, quality.shares(t or "", words), features(words, quality.shares(t or "", words))))
+    marks = quality.mine([sorted(quality.stems(w)) for _, w, _, _ in sampled], np.array([gold.get(i, (-1, -1))[1] for i, *_ in sampled]))
+
+    def pattern(task, i, words, s):
+        q, x = gold.get(i, (-1, -1))
+        return (*quality.quality_votes(s, len(words)), -1 if q < 0 else 1 - q) if task == "quality" else (*quality.toxic_votes(words, quality.stems(words), marks), x)
+
+    want = {}
+    for task in ("quality", "toxic"):
+        counts = {}
+        for i, t in rows:
+            if words := (t or "").split():
+                p = pattern(task, i, words, quality.shares(t, words))
+                counts[p] = counts.get(p, 0) + 1
+        post = _naive_em(counts)
+        given = [pattern(task, i, words, s) for i, words, s, _ in sampled]
+        prior = sum((quality.LIGHT if p[-1] < 0 else 1) * n * post[p] for p, n in counts.items()) + 1
+        prior /= sum((quality.LIGHT if p[-1] < 0 else 1) * n for p, n in counts.items()) + 10
+        w = _naive_scorer([f for *_, f in sampled], [post.get(p, prior) for p in given], [1 if p[-1] >= 0 else quality.LIGHT for p in given])
+        for i, words, _, f in sampled:
+            want.setdefault(i, []).append(None if not words else 1 / (1 + np.exp(-sum(w.get(x, 0) for x in [*f.tolist(), "bias"]))))
+    got = {r.doc_id: (r._bad, r._toxic) for r in quality.classify(docs, labels).collect() if r.doc_id is not None}
+    assert set(got) == set(want)
+    for i, pair in got.items():
+        for a, b in zip(pair, want[i]):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-4), (i, pair, want[i])
