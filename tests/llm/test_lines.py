@@ -84,7 +84,7 @@ def brute(rows, limit=2, least=4, per=5):
 
     for a, x in enumerate(order):
         for y in order[:a]:
-            if within(x, y, min(limit, len(x) // per, len(y) // per)) is not None:
+            if abs(len(x) - len(y)) <= limit and within(x, y, min(limit, len(x) // per, len(y) // per)) is not None:
                 p, q = sorted((find(x), find(y)), key=first.get)
                 root[q] = p
     out = []
