@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,13 +154,13 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, gold: np.
     return float(prior), rates, new
 
 
-def mine(rows: list[list[str]], toxic: np.ndarray, least: int = 8) -> frozenset[str]:
-    """The stems that mark toxic rows among labelled ones: in ``least`` of them or more, and in next to no other row."""
-    hits, other = Counter(), Counter()
-    for found, t in zip(rows, toxic.tolist()):
-        if t >= 0:
-            (hits if t else other).update(found)
-    return frozenset(x for x, n in hits.items() if x and n >= least and other[x] <= 0.004 * n)
+def mine(rows: pa.ListArray, toxic: np.ndarray, least: int = 8) -> tuple[frozenset[str], np.ndarray]:
+    """The stems that mark toxic rows among labelled ones, in ``least`` of them or more and in next to no other row, and how many each row has."""
+    flat, owner = rows.flatten().dictionary_encode(), np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+    codes, names = flat.indices.to_numpy(), flat.dictionary
+    hits, other = (np.bincount(codes[toxic[owner] == t], minlength=len(names)) for t in (1, 0))
+    marks = (hits >= least) & (other <= 0.004 * hits) & (pc.binary_length(names).to_numpy() > 0)
+    return frozenset(names.filter(pa.array(marks)).to_pylist()), np.bincount(owner, marks[codes], len(rows)).astype(np.int64)
 
 
 def stem_votes(insult: int, n: int) -> list[int]:
@@ -257,12 +257,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     features = [np.frombuffer(x, "<u4") for x in seen["features"].to_pylist()]
     value = lambda name: np.array([-1 if x is None else x for x in seen[name].to_pylist()], np.int64)
     quality, toxic = value("quality"), value("toxic")
-    starts = seen["stems"].to_pylist()
-    marks = mine(starts, toxic)
+    marks, n_marks = mine(pa.concat_arrays(seen["stems"].chunks), toxic) if len(seen) else (frozenset(), np.zeros(0, np.int64))
     counted = _patterns(rows, gold, marks).toArrow().to_pylist()
     votes = {"quality": [[*v, -1 if q < 0 else 1 - q] for v, q in zip(seen["votes"].to_pylist(), quality.tolist())], "toxic": []}
-    for insult, found, x in zip(seen["insult"].to_pylist(), starts, toxic.tolist()):
-        votes["toxic"].append([*stem_votes(insult, len(marks.intersection(found))), x])
+    for insult, n, x in zip(seen["insult"].to_pylist(), n_marks.tolist(), toxic.tolist()):
+        votes["toxic"].append([*stem_votes(insult, n), x])
+    del seen
     model = Model(np.zeros((1 << BITS) + 1, "f4"), np.zeros((1 << BITS) + 1, "f4"))
     for task, given in votes.items():
         patterns = sorted((tuple(map(int, r["pattern"].split(","))), r["n"]) for r in counted if r["task"] == task)
