@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -27,24 +27,39 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("end", ends).where("on = 1").select("list", "domain", F.col("day").alias("start"), "end")
 
 
-def listed(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+def states(spans: DataFrame) -> DataFrame:
+    """(domain, day, lists): the lists that hold each domain from a day on, at every day where that changes."""
+    days = spans.select("domain", F.col("start").alias("day")).unionByName(spans.where("end is not null").select("domain", F.col("end").alias("day"))).distinct()
+    active = F.when((F.col("start") <= F.col("day")) & (F.col("end").isNull() | (F.col("day") < F.col("end"))), F.col("list"))
+    return days.join(spans, "domain").groupBy("domain", "day").agg(F.array_sort(F.collect_set(active)).alias("lists"))
+
+
+def listed(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", salts: int = 16) -> DataFrame:
     """(id, host, fetched, lists, n_lists): for every capture, the lists whose entry for its host or a parent domain is active at fetch time.
 
-    Each capture is joined to the validity intervals of its domains: an equi-join on the domain with the interval as a residual
-    condition, so it is evaluated as of its own time. Domains of a capture are few (labels of a host name), and a frequent
-    host is on the side that a skewed join splits. ``lists`` is sorted, without repeats.
+    An as-of join: validity intervals become the states of each domain, states and captures of a domain are put in order of time, and
+    each capture takes the last state before it, carried forward in one pass. A capture has as many domains as its host has
+    labels. Captures of a domain are dealt over ``salts`` parts, to each of which its states, few, are copied, so that a
+    frequent host or parent is no single task's. Bare last labels are left out unless the lists hold one.
 
     A null or malformed url has a null host and no list; a null time matches no interval. Repeated rows and null ids come
     back once for each row. An empty table of captures gives none, an empty list matches nothing.
     """
-    rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), host(url_col).alias("host"), F.col(time_col).alias("fetched"))
+    # numbered once: both uses below read the same numbers
+    rows = cut(captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), host(url_col).alias("host"), F.col(time_col).alias("fetched")))
+    spans = cut(intervals(entries))
+    least = 1 if not spans.where(~F.col("domain").contains(".")).isEmpty() else 2
     parts = F.split("host", r"\.")
-    domains = rows.where("host is not null and fetched is not null").withColumn("domain", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))))
-    active = domains.join(intervals(entries), "domain").where("fetched >= start and (end is null or fetched < end)")
-    found = active.groupBy("row").agg(F.array_sort(F.collect_set("list")).alias("lists"))
-    joined = rows.join(found, "row", "left")
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - (least - 1), F.lit(1))), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    found = rows.where("host is not null and fetched is not null").select(F.explode(suffixes).alias("domain"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"), F.col("fetched").alias("at"), "row", F.lit(None).cast("array<string>").alias("lists"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    known = states(spans).select("domain", copies, F.col("day").cast(rows.schema["fetched"].dataType).alias("at"), F.lit(None).cast("long").alias("row"), "lists")
+    # a state holds from its day on: before the captures of the same time
+    order = Window.partitionBy("domain", "salt").orderBy("at", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = found.unionByName(known).withColumn("lists", F.last("lists", ignorenulls=True).over(order))
+    met = carried.where("row is not null and size(lists) > 0").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lists")))).alias("lists"))
     lists = F.coalesce("lists", F.array().cast("array<string>"))
-    return joined.select("id", "host", "fetched", lists.alias("lists"), F.size(lists).alias("n_lists"))
+    return rows.join(met, "row", "left").select("id", "host", "fetched", lists.alias("lists"), F.size(lists).alias("n_lists"))
 
 
 def given_entries(pages: DataFrame) -> DataFrame:
