@@ -117,7 +117,8 @@ class Catalog:
         """Unused, circular or most frequent imports."""
         of = lambda t: t if repo_path is None else t.where(F.col("repo_path") == repo_path)
         kinds = {"unused": lambda: codegraph.unused_imports(of(self.tables["nodes"])), "circular": lambda: codegraph.circular_imports(of(self.tables["links"])), "patterns": lambda: codegraph.import_patterns(of(self.tables["nodes"]))}
-        return kinds[analysis_type]().orderBy("repo_path", "commit_hash").limit(limit)
+        found = kinds[analysis_type]()
+        return found.orderBy("repo_path", "commit_hash", F.to_json(F.struct(*found.columns))).limit(limit)
 
     def store_memory(self, memory_id: str, text: str, embedding: list[float] | None = None, metadata: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
         """(hot rows, rejects) of one memory."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Alert type -> (threshold, whether a value below it alerts, severity, message format, factor of the values shown).
@@ -42,19 +45,23 @@ def pattern_key(alert_type: Column, pattern: Column) -> Column:
 def suppress(alerts: DataFrame, minutes: int = 5) -> DataFrame:
     """Alerts that are sent: the first of each (alert_type, pattern_data), and then each that comes ``minutes`` or more after the last one sent.
 
-    Suppressed ones don't prolong the wait, so it is a fold over a key's alerts in order of event time. The fold keeps the
-    times already sent in one running value, in the JVM.
+    Suppressed ones don't prolong the wait, so it is a fold over a key's alerts in order of event time: one pass over sorted rows,
+    which holds the time last sent and nothing else. Alerts without a time aren't sent.
     """
-    seconds = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    order = Window.partitionBy("alert_type", "pattern_data").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    gap = minutes * 60_000_000
-    # few alerts share a key within the gap; those before it can't matter, so times are first cut into runs with no gap between them
-    before = F.lag("_t").over(Window.partitionBy("alert_type", "pattern_data").orderBy("timestamp", "seq"))
-    rows = alerts.withColumn("_t", seconds)
-    rows = rows.withColumn("_new", F.coalesce((F.col("_t") - before >= gap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_run", F.sum("_new").over(order))
-    run = Window.partitionBy("alert_type", "pattern_data", "_run").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.aggregate(F.collect_list("_t").over(run), F.lit(None).cast("long"), lambda sent, t: F.when(sent.isNull() | (t - sent >= gap), t).otherwise(sent))
-    rows = rows.withColumn("_sent", last)
-    first = F.row_number().over(Window.partitionBy("alert_type", "pattern_data", "_run", "_sent").orderBy("timestamp", "seq"))
-    return rows.withColumn("_first", first).where("_first = 1 and _t = _sent").drop("_t", "_new", "_run", "_sent", "_first")
+    gap, keys = minutes * 60_000_000, ["alert_type", "pattern_data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sent = None, None
+        for b in batches:
+            *names, times = (b.column(c).to_pylist() for c in (*keys, "_t"))
+            keep = []
+            for name, t in zip(zip(*names), times):
+                if name != at:
+                    at, sent = name, None
+                new = t is not None and (sent is None or t - sent >= gap)
+                keep.append(new)
+                sent = t if new else sent
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows = alerts.withColumn("_t", F.unix_micros(F.col("timestamp").cast("timestamp"))).repartition(*keys).sortWithinPartitions(*keys, "_t", "seq")
+    return rows.mapInArrow(run, rows.schema).drop("_t")

@@ -31,9 +31,10 @@ def links(graphs: DataFrame) -> DataFrame:
 
 
 def upsert(graphs: DataFrame, new: DataFrame) -> DataFrame:
-    """The latest row of each key."""
-    latest = Window.partitionBy(*KEY).orderBy(F.col("ingested_at").desc())
-    return graphs.unionByName(new).withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank")
+    """The latest row of each key; of equally late ones a new row wins."""
+    latest = Window.partitionBy(*KEY).orderBy(F.col("ingested_at").desc(), F.col("_new").desc(), "nodes_count")
+    both = graphs.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", "_new")
 
 
 def get(graphs: DataFrame, repo_path: str, commit_hash: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import scalars as S
@@ -22,20 +25,24 @@ def union_traces(parts: list[DataFrame]) -> DataFrame:
 def signals(traces: DataFrame, by: tuple[str, ...] = ("task_class", "selector"), classes: tuple[str, ...] | None = None) -> DataFrame:
     """Failure rate, score, p99 latency, samples and components of each task class and selector.
 
-    A missing selector is ``unknown``. p99 is element int(0.99 * n) of the sorted latencies (missing ones count as 0): the
-    latencies of a group are gathered, so ``p99_of_many`` is there for groups beyond memory.
+    A missing selector is ``unknown``. p99 is element int(0.99 * n) of the sorted latencies (missing ones count as 0), as ``p99_of_many`` has it.
     """
     rows = traces.withColumn("selector", F.coalesce("selector", F.lit("unknown"))) if "selector" in by else traces
     rows = rows.where(F.col("task_class").isin(*classes)) if classes else rows
     failed = F.avg((F.coalesce("outcome", F.lit("")) == "error").cast("double"))
-    return rows.groupBy(*by).agg(failed.alias("failure_rate"), (1 - failed).alias("score"), S.nearest_rank(F.collect_list(F.coalesce("duration_ms", F.lit(0.0)))).alias("p99_ms"), F.count(F.lit(1)).alias("samples"), F.countDistinct(F.coalesce("component_name", F.lit(""))).alias("components"))
+    found = rows.groupBy(*by).agg(failed.alias("failure_rate"), (1 - failed).alias("score"), F.count(F.lit(1)).alias("samples"), F.countDistinct(F.coalesce("component_name", F.lit(""))).alias("components"))
+    late = _ranked(rows, by, 0.99).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return found.join(late, same).select(*by, "failure_rate", "score", "p99_ms", "samples", "components")
 
 
 def p99_of_many(traces: DataFrame, by: tuple[str, ...] = ("task_class", "selector"), q: float = 0.99) -> DataFrame:
     """The same p99 without gathering a group: counts by distinct latency, a running sum over those, and the first that passes the rank."""
-    from pyspark.sql import Window
+    return _ranked(traces.withColumn("selector", F.coalesce("selector", F.lit("unknown"))) if "selector" in by else traces, by, q)
+
 
-    counts = traces.withColumn("selector", F.coalesce("selector", F.lit("unknown"))).groupBy(*by, F.coalesce("duration_ms", F.lit(0.0)).alias("d")).agg(F.count(F.lit(1)).alias("c"))
+def _ranked(traces: DataFrame, by: tuple[str, ...], q: float) -> DataFrame:
+    counts = traces.groupBy(*by, F.coalesce("duration_ms", F.lit(0.0)).alias("d")).agg(F.count(F.lit(1)).alias("c"))
     each = Window.partitionBy(*by)
     ranked = counts.withColumns({"upto": F.sum("c").over(each.orderBy("d")), "n": F.sum("c").over(each)})
     rank = F.least((F.col("n") * F.lit(q)).cast("long"), F.col("n") - 1)

@@ -30,7 +30,8 @@ def prepare(memories: DataFrame, now: str, dim: int = 384) -> tuple[DataFrame, D
 
 def insertable(new: DataFrame, existing: DataFrame, key: str = "conversation_id") -> tuple[DataFrame, DataFrame]:
     """(rows to append, rows in conflict): keys that exist, or that come a second time among ``new``, are in conflict."""
-    ranked = new.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    # rows of one key are told apart by their contents, so that both results see the same order
+    ranked = new.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.to_json(F.struct(*new.columns)))))
     known = existing.select(key).distinct().withColumn("_known", F.lit(True))
     marked = ranked.join(known, key, "left")
     clash = F.col("_known").isNotNull() | (F.col("_rank") > 1)

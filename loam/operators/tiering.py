@@ -71,6 +71,10 @@ def without(df: DataFrame, keys: DataFrame, key: str = "conversation_id") -> Dat
 
 def tier_counts(hot: DataFrame | None, warm: DataFrame | None, cold: DataFrame | None = None) -> DataFrame:
     """(tier, n), 0 for a tier that isn't there."""
-    spark = next(t for t in (hot, warm, cold) if t is not None).sparkSession
-    parts = [spark.createDataFrame([(name, 0)], "tier string, n long") if t is None else t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tier"), "n") for name, t in (("hot", hot), ("warm", warm), ("cold", cold))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tiers = {"hot": hot, "warm": warm, "cold": cold}
+    there = [t.select(F.lit(name).alias("tier")) for name, t in tiers.items() if t is not None]
+    every = there[0]
+    for t in there[1:]:
+        every = every.unionByName(t)
+    counts = every.agg(*[F.count_if(F.col("tier") == name).alias(name) for name in tiers])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("tier"), F.col(name).alias("n")) for name in tiers])).alias("t")).select("t.*")

@@ -55,9 +55,13 @@ def anomalies(points: DataFrame, as_of: str, days: int = 7, threshold: float = 3
 def anomaly_summary(points: DataFrame, as_of: str, days: int = 7, threshold: float = 3.0, by: tuple[str, ...] = ("metric_name",), first: int = 10, **only: str) -> DataFrame:
     """Per series: points, anomalies, their rate, and the seq of the first ``first`` anomalies in order of arrival."""
     hit = F.col("z_score") > threshold
-    rows = scored(points, as_of, days, by, **only).withColumn("rank", F.sum(hit.cast("int")).over(Window.partitionBy(*by).orderBy("seq")))
-    picked = F.collect_list(F.when(hit & (F.col("rank") <= first), F.col("seq")))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total_points"), F.count_if(hit).alias("anomaly_count"), F.avg(hit.cast("double")).alias("anomaly_rate"), F.array_sort(picked).alias("first_seqs"))
+    rows = scored(points, as_of, days, by, **only)
+    # a limit on row numbers is applied in each task before the shuffle
+    early = rows.where(hit).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("seq"))).where(F.col("rank") <= first)
+    picked = early.groupBy(*by).agg(F.array_sort(F.collect_list("seq")).alias("first_seqs"))
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total_points"), F.count_if(hit).alias("anomaly_count"), F.avg(hit.cast("double")).alias("anomaly_rate"))
+    none = F.array().cast(f"array<{points.schema['seq'].dataType.simpleString()}>")
+    return found.join(picked, list(by), "left").withColumn("first_seqs", F.coalesce("first_seqs", none))
 
 
 def correlations(points: DataFrame, as_of: str, days: int = 7, last: int = 100, align: str = "arrival", threshold: float | None = None, **only: str) -> DataFrame:
@@ -171,6 +175,6 @@ def first_last(points: DataFrame, by: tuple[str, ...] = ("metric_name", "system_
     return points.groupBy(*by).agg(F.min_by("value", when).alias("first_value"), F.max_by("value", when).alias("last_value"))
 
 
-def change_rank(changes: DataFrame, by: tuple[str, ...], change: Column) -> DataFrame:
-    """Rows ranked by the size of their change within a series, 1 the largest."""
-    return changes.withColumn("change_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs(change).desc())))
+def change_rank(changes: DataFrame, by: tuple[str, ...], change: Column, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ranked by the size of their change within a series, 1 the largest, equal ones in the order of ``ties``."""
+    return changes.withColumn("change_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs(change).desc(), *ties)))

@@ -91,7 +91,7 @@ def w2_first_last(spark, sf):
 @query(sql("metrics", "WITH f AS (SELECT metric_name, system_id, arg_max(value, seq) - arg_min(value, seq) AS d FROM metrics GROUP BY 1, 2) SELECT metric_name, system_id, row_number() OVER (PARTITION BY metric_name ORDER BY abs(d) DESC, system_id) AS change_rank FROM f"))
 def w4_change_rank(spark, sf):
     moved = timeseries.first_last(C.metrics(spark, sf)).withColumn("d", F.col("last_value") - F.col("first_value"))
-    return timeseries.change_rank(moved.orderBy("system_id"), ("metric_name",), F.col("d")).select("metric_name", "system_id", "change_rank")
+    return timeseries.change_rank(moved, ("metric_name",), F.col("d"), ("system_id",)).select("metric_name", "system_id", "change_rank")
 
 
 def _rollup_sql(bucket: str) -> str:

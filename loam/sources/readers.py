@@ -68,12 +68,12 @@ def services(listed: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def write_hot(df: DataFrame, path: str) -> None:
-    """Append, by shard, ordered within files so that their statistics prune systems and times."""
-    df.repartition("shard_id").sortWithinPartitions("system_id", "timestamp").write.mode("append").partitionBy("shard_id").parquet(path)
+    """Append, by shard, ordered within files so that their statistics prune systems and times; a large shard is split by its bytes."""
+    df.hint("rebalance", F.col("shard_id")).sortWithinPartitions("system_id", "timestamp").write.mode("append").partitionBy("shard_id").parquet(path)
 
 
 def write_warm(df: DataFrame, path: str) -> None:
-    """Append, by day; an empty batch writes nothing."""
+    """Append, by day, a large day being split by its bytes; an empty batch writes nothing."""
     if df.isEmpty():
         return
-    df.withColumn("day", F.to_date("timestamp")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    df.withColumn("day", F.to_date("timestamp")).hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
