@@ -106,7 +106,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     1. Texts of equal shingles, by 128 bits, are one node.
     2. Nodes that agree in a band of MinHash values form a group. Groups are counted and listed, never paired; of groups of the
-       same members one is kept. Every member is compared with the group's least, on exact shingles.
+       same members one is kept. Every member is compared, on exact shingles, with the group's hub: the member that meets the most others.
     3. Groups that this leaves in more than one component are compared as a whole, in cells of two blocks.
 
     Every link is verified; what bands miss is in ``BANDS``. Rows of null ids or of texts without words are left out. Rows of one
@@ -155,16 +155,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     nodes = cut(numbered.select(F.monotonically_increasing_id().alias("node"), "h", "g", F.col("first.id").alias("rep"), F.col("first.x").alias("x"), "bands", "n_rows"))
     reach = nodes.select("node", F.explode("bands").alias("value"))
     total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
-    met = reach.groupBy("value").agg(F.min("node").alias("lo"), F.count(F.lit(1)).alias("n"), total.alias("total")).where("n > 1")
-    groups = met.groupBy("lo", "n", "total").agg(F.min("value").alias("value"))
-    members = cut(reach.join(groups.select("value", "lo", "n"), "value"))
+    met = reach.groupBy("value").agg(F.count(F.lit(1)).alias("n"), total.alias("total")).where("n > 1")
+    held = cut(reach.join(met, "value"))
+    # the text that others are copies of meets the most others
+    scored = held.join(held.groupBy("node").agg(F.sum("n").alias("score")), "node")
+    hubs = scored.groupBy("value", "n", "total").agg(F.max(F.struct("score", "node")).alias("hub"))
+    groups = hubs.groupBy("hub", "n", "total").agg(F.min("value").alias("value")).select("value", F.col("hub.node").alias("hub"))
+    members = cut(held.drop("total").join(groups, "value"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("rep").alias("id"), "x")
     texts = squeezed(rows).join(wanted.hint("shuffle_hash"), ["id", "x"]).select("node", "text")
     sets = cut(texts.mapInArrow(listed, "node long, own binary").dropDuplicates(["node"]))
 
-    pairs = members.where("node <> lo").select("lo", "node").distinct()
-    sided = pairs.join(sets.select(F.col("node").alias("lo"), F.col("own").alias("lo_own")), "lo").join(sets, "node")
-    near = cut(sided.select("lo", "node", "lo_own", "own").mapInArrow(star, "u long, v long"))
+    pairs = members.where("node <> hub").select("hub", "node").distinct()
+    sided = pairs.join(sets.select(F.col("node").alias("hub"), F.col("own").alias("hub_own")), "hub").join(sets, "node")
+    near = cut(sided.select("hub", "node", "hub_own", "own").mapInArrow(star, "u long, v long"))
     parted = members.join(components(near).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # pairs were compared already
     open_groups = parted.where("n > 2").groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("value")
