@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 1000, 8_000_000
 #: Share of all rows that makes a key frequent, there being fewer than its inverse of such keys, and the least rows that do.
 FREQUENT, FLOOR = 1 / 2000, 1000
+#: Edges that one task takes in a round of ``components``.
+EDGES = 200_000
 
 
 def bound(spark: SparkSession) -> None:
@@ -72,17 +74,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each node hands its neighbours its least
     neighbour, so the edge set never grows and ends as stars around the least ids, after about log(n) rounds. All state
-    stays distributed; the driver sees one count and one checksum a round. Ids without an edge are not returned.
+    stays distributed; the driver sees one count and one checksum a round, and the count sets the tasks of the next one, so that
+    few edges aren't spread over many small files. Ids without an edge are not returned.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(edges)
     while mark[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = -(-mark[0] // EDGES)
+        ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.coalesce(tasks).select(ends.alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(small_least, F.col("u") == F.col("w"))
-        star = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        star = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct()
         edges = cut(star)
         new = _mark(edges)
         if new == mark:
