@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +46,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(run: Callable) -> Callable:
+    """``run``, over Arrow batches or one group, handing freed memory back to the system at its end: Python workers are kept for later tasks."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    @functools.wraps(run)
+    def batches(rows):
+        try:
+            yield from run(rows)
+        finally:
+            release()
+
+    @functools.wraps(run)
+    def group(rows):
+        try:
+            return run(rows)
+        finally:
+            release()
+
+    return batches if inspect.isgeneratorfunction(run) else group
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str) -> DataFrame:
     """Gapless rank from 0 within ``keys``, without bringing a whole key into one task.
 

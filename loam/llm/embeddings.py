@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted, table
+from .common import components, cut, join_counted, released, table
 
 #: Rows of one cell that are compared in one task; larger cells are compared block against block.
 BLOCK = 512
@@ -72,7 +72,7 @@ def packed(vectors: DataFrame, kind: str) -> DataFrame:
                 raw.append(v.astype(kind).tobytes() if fit else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["node", "id", "label", "dim", "v"])
 
-    return vectors.mapInArrow(run, "node long, id long, label string, dim int, v binary")
+    return vectors.mapInArrow(released(run), "node long, id long, label string, dim int, v binary")
 
 
 def decoded(nodes: DataFrame, kind: str, words: int, height: float, least: int) -> DataFrame:
@@ -95,7 +95,7 @@ def decoded(nodes: DataFrame, kind: str, words: int, height: float, least: int)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], [*b.schema.names, "firsts"])
 
     kept = nodes.select("node", "label", "dim", "v", "copies", "least_id")
-    return kept.mapInArrow(run, "node long, label string, dim int, v binary, copies long, least_id long, firsts array<int>")
+    return kept.mapInArrow(released(run), "node long, label string, dim int, v binary, copies long, least_id long, firsts array<int>")
 
 
 def listed(nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, released, table
 from .edits import nearest
 
 U = np.uint64
@@ -209,7 +209,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 out = [(own[d], ids[k], e, end) for d, k, e, end in match(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "item_id", "distance", "end"])
 
-        part = rows.mapInArrow(run, kind)
+        part = rows.mapInArrow(released(run), kind)
         if not only:
             part = cut(part)
             shared.unpersist()

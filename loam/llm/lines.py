@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted, table
+from .common import components, cut, join_counted, released, table
 from .edits import within
 
 #: Entries of a bucket of the segment index, about.
@@ -146,7 +146,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
                 ["id", "x", "h", "g", "at", "more", "size"],
             )
 
-    return docs.select("id", "x", "text").mapInArrow(run, "id long, x long, h long, g long, at int, more array<int>, size long")
+    return docs.select("id", "x", "text").mapInArrow(released(run), "id long, x long, h long, g long, at int, more array<int>, size long")
 
 
 def packed(sides: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
@@ -205,7 +205,7 @@ def entries(docs: DataFrame, limit: int, per: int, least: int, buckets: int) ->
         work()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(released(run), PACKED)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def shared(entered: DataFrame) -> DataFrame:
         spread = lambda x: np.repeat(x, sizes)[many]
         return pa.table({"grp": spread(names).view(np.int64), "n": spread(sizes), "bucket": pa.repeat(bucket, int(many.sum())), "key": keys[many].view(np.int64), "line": members[many]})
 
-    found = entered.groupBy("bucket").applyInArrow(run, "grp long, n long, bucket long, key long, line long")
+    found = entered.groupBy("bucket").applyInArrow(released(run), "grp long, n long, bucket long, key long, line long")
     return found.groupBy("grp", "line").agg(F.max("n").alias("n"), F.min(F.struct("bucket", "key")).alias("at")).select("grp", "n", "at.bucket", "at.key", "line")
 
 
@@ -272,7 +272,7 @@ def split(crowded: DataFrame, limit: int, per: int, buckets: int, more: int) ->
             sides[0] = (np.concatenate([sides[0][0], salt[short]]), np.concatenate([sides[0][1], owner[short]]))
             yield packed(sides, more)
 
-    return shared(crowded.select("grp", "bucket", "key", "node", "line").mapInArrow(run, PACKED))
+    return shared(crowded.select("grp", "bucket", "key", "node", "line").mapInArrow(released(run), PACKED))
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([z if j == k else b.column(j) for j in range(b.num_columns)], b.schema.names)
 
     kept = docs.withColumn("text", F.col("text").cast("binary"))
-    return kept.mapInArrow(run, kept.schema)
+    return kept.mapInArrow(released(run), kept.schema)
 
 
 def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     lists = wanted.groupBy("id", "x").agg(F.collect_list(F.struct("node", "h", "g")).alias("want"))
     joined = texts.select("id", "x", "text").join(lists.hint("shuffle_hash"), ["id", "x"])
-    return joined.select("text", "want").mapInArrow(run, "node long, h long, line string").dropDuplicates(["node"])
+    return joined.select("text", "want").mapInArrow(released(run), "node long, h long, line string").dropDuplicates(["node"])
 
 
 def counted(lines: list[str]) -> np.ndarray:
@@ -375,7 +375,7 @@ def verified(groups: DataFrame, texts: DataFrame, on: str, limit: int, per: int)
     own = F.pmod(F.xxhash64("node"), blocks)
     cells = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(own, k) * blocks + F.greatest(own, k))
     part = F.pmod(F.xxhash64("grp", "cell"), F.lit(parts))
-    return placed.select("grp", "node", "line", F.explode(cells).alias("cell")).withColumn("part", part).groupBy("part").applyInArrow(run, "u long, v long")
+    return placed.select("grp", "node", "line", F.explode(cells).alias("cell")).withColumn("part", part).groupBy("part").applyInArrow(released(run), "u long, v long")
 
 
 def classes(docs: DataFrame, limit: int, least: int, per: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -460,7 +460,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*keep, "_n_lines", "_n_dropped"])
 
     schema = kinds.add("_n_lines", "long").add("_n_dropped", "long")
-    result = joined.mapInArrow(run, schema)
+    result = joined.mapInArrow(released(run), schema)
     return result.select(*[F.col("text" if k == at_text else n).alias(docs.columns[k]) for k, n in enumerate(names)], "_n_lines", "_n_dropped")
 
 

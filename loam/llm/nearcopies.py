@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted
+from .common import components, cut, join_counted, released
 from .lines import key, squeezed
 
 #: Bands of MinHash values, and values in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
@@ -150,7 +150,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
     rows = rows.withColumn("x", F.xxhash64("text"))
-    sketches = cut(rows.mapInArrow(sketch, "id long, x long, h long, g long, bands array<long>"))
+    sketches = cut(rows.mapInArrow(released(sketch), "id long, x long, h long, g long, bands array<long>"))
     numbered = sketches.groupBy("h", "g").agg(F.min(F.struct("id", "x")).alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows"))
     nodes = cut(numbered.select(F.monotonically_increasing_id().alias("node"), "h", "g", F.col("first.id").alias("rep"), F.col("first.x").alias("x"), "bands", "n_rows"))
     reach = nodes.select("node", F.explode("bands").alias("value"))
@@ -164,11 +164,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     members = cut(held.drop("total").join(groups, "value"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("rep").alias("id"), "x")
     texts = squeezed(rows).join(wanted.hint("shuffle_hash"), ["id", "x"]).select("node", "text")
-    sets = cut(texts.mapInArrow(listed, "node long, own binary").dropDuplicates(["node"]))
+    sets = cut(texts.mapInArrow(released(listed), "node long, own binary").dropDuplicates(["node"]))
 
     pairs = members.where("node <> hub").select("hub", "node").distinct()
     sided = pairs.join(sets.select(F.col("node").alias("hub"), F.col("own").alias("hub_own")), "hub").join(sets, "node")
-    near = cut(sided.select("hub", "node", "hub_own", "own").mapInArrow(star, "u long, v long"))
+    near = cut(sided.select("hub", "node", "hub_own", "own").mapInArrow(released(star), "u long, v long"))
     parted = members.join(components(near).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # pairs were compared already
     open_groups = parted.where("n > 2").groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("value")
@@ -180,7 +180,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     total = blocks.agg(F.sum("blocks")).first()[0] or 0
     parts = max(1, -(-total // TOGETHER[0]), int(total * known) // TOGETHER[1])
     split = F.pmod(F.xxhash64("grp", "cell"), F.lit(parts))
-    rest = placed.select("grp", "cell", "node", "own", split.alias("part")).groupBy("part").applyInArrow(compare, "u long, v long")
+    rest = placed.select("grp", "cell", "node", "own", split.alias("part")).groupBy("part").applyInArrow(released(compare), "u long, v long")
     groups_of = components(near.unionByName(rest)).withColumnsRenamed({"id": "node", "component": "label"})
     labels = nodes.select("node", "h", "g", "n_rows").join(groups_of, "node", "left").select("h", "g", "n_rows", F.coalesce("label", "node").alias("label"))
     return join_counted(sketches.select("id", "x", "h", "g"), labels, ["h", "g"], "n_rows").select("id", "x", "label")

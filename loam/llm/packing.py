@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, released, table
 from .tokens import encoder
 
 
@@ -27,7 +27,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
                 out += [(key, a, min(limit, n - a), zlib.crc32(ids[4 * a : 4 * (a + limit)]), n) for a in range(0, n, limit)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 5, ["id", "start", "length", "crc", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, start long, length long, crc long, tokens long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(run), "id long, start long, length long, crc long, tokens long")
 
 
 def first_fit(lengths: list[int], limit: int) -> list[tuple[int, int]]:
@@ -75,7 +75,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
         sequence = pa.array(np.array([b for b, _ in placed], np.int64) + (rows["grp"].to_numpy() << 32))
         return rows.drop_columns("grp").append_column("sequence", sequence).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
-    return dealt.groupBy("grp").applyInArrow(run, "id long, start long, length long, crc long, tokens long, sequence long, offset long")
+    return dealt.groupBy("grp").applyInArrow(released(run), "id long, start long, length long, crc long, tokens long, sequence long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, table
+from .common import cut, released, table
 
 BITS = 18
 #: Labelled rows that the stems are mined from and the scorers are fitted on, at most: those of the least hashes. Half as many
@@ -200,7 +200,7 @@ def _examined(docs: DataFrame) -> DataFrame:
                 found.append(features(words, s).tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(votes, pa.list_(pa.int32())), pa.array(insults, pa.int32()), pa.array(starts, pa.list_(pa.string())), pa.array(found, pa.binary())], ["id", "quality", "toxic", "votes", "insult", "stems", "features"])
 
-    return docs.select("id", "quality", "toxic", "text").mapInArrow(run, "id long, quality int, toxic int, votes array<int>, insult int, stems array<string>, features binary")
+    return docs.select("id", "quality", "toxic", "text").mapInArrow(released(run), "id long, quality int, toxic int, votes array<int>, insult int, stems array<string>, features binary")
 
 
 def _votes(docs: DataFrame, marks: frozenset[str]) -> DataFrame:
@@ -217,7 +217,7 @@ def _votes(docs: DataFrame, marks: frozenset[str]) -> DataFrame:
                     votes[1].append(",".join(map(str, toxic_votes(words, stems(words), marks))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(v, pa.string()) for v in votes)], ["id", "quality_votes", "toxic_votes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, quality_votes string, toxic_votes string")
+    return docs.select("id", "text").mapInArrow(released(run), "id long, quality_votes string, toxic_votes string")
 
 
 def _patterns(docs: DataFrame, gold: DataFrame, marks: frozenset[str]) -> DataFrame:
@@ -304,7 +304,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64()) for x in out)], [*names, "_bad", "_toxic"])
 
     schema = StructType([*plain.schema, StructField("_bad", DoubleType()), StructField("_toxic", DoubleType())])
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bad: float = 0.6, toxic: float = 0.25) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, salted_rank, shuffle_width, table
+from .common import cut, released, salted_rank, shuffle_width, table
 
 
 def deal(loads: list[int], size: int, count: int) -> list[int]:
@@ -65,7 +65,7 @@ def schedule(sizes: DataFrame, shards: int) -> DataFrame:
         kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["size", "shards", "ends"])
 
-    return sizes.coalesce(1).mapInArrow(run, "size long, shards array<int>, ends array<long>")
+    return sizes.coalesce(1).mapInArrow(released(run), "size long, shards array<int>, ends array<long>")
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_counted, shuffle_width, table
+from .common import components, cut, join_counted, released, shuffle_width, table
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK = 1 << 20
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(x, width) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "x", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, x long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).cast("binary").alias("text")).mapInArrow(released(run), "id long, x long, fp long")
 
 
 def balls(fp: str, radius: int):

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, released, table
 
 #: Words of an anchor; an anchor is the least of all grams of a window, so equal windows have equal anchors.
 GRAM = 18
@@ -95,7 +95,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             anchors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pair.f1, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, words)), pa.int64()), pa.array(sha, pa.binary()), anchors], ["id", "x", "n_words", "sha", "anchors"])
 
-    return docs.select("id", "x", F.col("text").cast("binary")).mapInArrow(run, "id long, x long, n_words long, sha binary, anchors array<long>")
+    return docs.select("id", "x", F.col("text").cast("binary")).mapInArrow(released(run), "id long, x long, n_words long, sha binary, anchors array<long>")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press(t or b"") for t in b.column(2).to_pylist()], pa.binary())], ["id", "x", "z"])
 
-    return docs.select("id", "x", F.col("text").cast("binary")).mapInArrow(run, "id long, x long, z binary")
+    return docs.select("id", "x", F.col("text").cast("binary")).mapInArrow(released(run), "id long, x long, z binary")
 
 
 def segments(hits: DataFrame, width: int, hot: bool) -> DataFrame:
@@ -141,7 +141,7 @@ def segments(hits: DataFrame, width: int, hot: bool) -> DataFrame:
             )
 
     wanted = hits.where(F.size("hot" if hot else "cold") > 0).select("id", "x", "z", "hot" if hot else "cold")
-    return wanted.mapInArrow(run, f"anchor long, id long, x long, starts array<int>, content {'long' if hot else 'binary'}")
+    return wanted.mapInArrow(released(run), f"anchor long, id long, x long, starts array<int>, content {'long' if hot else 'binary'}")
 
 
 def named(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "x", "n_removed", "kept"])
 
     gathered = spans.groupBy("id", "x").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(gathered.hint("shuffle_hash"), ["id", "x"]).select("id", "x", "z", "spans").mapInArrow(run, "id long, x long, n_removed long, kept binary")
+    return texts.join(gathered.hint("shuffle_hash"), ["id", "x"]).select("id", "x", "z", "spans").mapInArrow(released(run), "id long, x long, n_removed long, kept binary")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,7 +237,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     total = hits.agg(F.sum(F.size("cold"))).first()[0] or 0
     buckets = max(1, -(-total // GROUP))
     cold = segments(held, width, False).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    deep = cold.groupBy("bucket").applyInArrow(lambda t: subtree(t, width), "id long, x long, lo int, hi int")
+    deep = cold.groupBy("bucket").applyInArrow(released(lambda t: subtree(t, width)), "id long, x long, lo int, hi int")
     windows = segments(held, width, True)
     nodes = windows.groupBy("anchor", "content").agg(F.min("id").alias("least"))
     leaves = windows.join(nodes, ["anchor", "content"]).where("id > least").select("id", "x", F.explode("starts").alias("lo"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, released, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -101,7 +101,7 @@ def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = Non
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(x)) // 4 + extra for x in b.column(0).to_pylist()], pa.int64())], ["length"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "length long")
 
 
 def histogram(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, extra: int = 1, block: int = 1024) -> DataFrame:
